@@ -6,25 +6,23 @@ padded text, missing parts, prices and dates that are none.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NUMBER = "cast(c_custkey % 200 + 1 as string)"
 NAME = "(case c_custkey % 4 when 0 then 'Pond' when 1 then 'Rose' when 2 then 'Mill' else 'Oak' end)"
-AREA = (
-    "(case c_custkey % 6 when 0 then 'GL' when 1 then 'SW' when 2 then 'B' "
-    "when 3 then 'EX' when 4 then 'M' else 'EC' end)"
-)
+# Two letters and one or two digits, a closing letter for one area in six.
 OUT = (
-    f"({AREA} || case when c_custkey % 6 = 5 then cast(c_custkey % 9 + 1 as string) || 'A' "
-    "else cast(c_custkey % 20 + 1 as string) end)"
+    "replace(substr('GLSWB EXM EC', cast(c_custkey % 6 as int) * 2 + 1, 2) || "
+    "cast(c_custkey % 20 + 1 as string) || substr('     A', cast(c_custkey % 6 as int) + 1, 1), ' ', '')"
 )
 IN = (
-    "(cast(c_custkey % 10 as string) || substr('ABDEFGHJ', cast(c_custkey % 8 as int) + 1, 1) "
-    "|| substr('LNPQRSTU', cast(c_custkey % 7 as int) + 1, 1))"
+    "cast(c_custkey % 10 as string) || substr('ABDEFGHJabdefghj', cast(c_custkey % 16 as int) + 1, 1) "
+    "|| substr('LNPQRST', cast(c_custkey % 7 as int) + 1, 1)"
 )
 POSTCODE = (
-    "case when c_custkey % 53 = 0 then null when c_custkey % 61 = 0 then 'UNKNOWN' "
-    f"when c_custkey % 7 = 0 then {OUT} || {IN} when c_custkey % 11 = 0 then lower({OUT} || ' ' || {IN}) "
-    f"when c_custkey % 13 = 0 then ' ' || {OUT} || ' ' || {IN} || ' ' else {OUT} || ' ' || {IN} end"
+    "case when c_custkey % 53 = 0 then null when c_custkey % 61 = 0 then 'UNKNOWN' else "
+    f"{OUT} || case when c_custkey % 7 = 0 then '' else ' ' end || {IN} || "
+    "case when c_custkey % 13 = 0 then '  ' else '' end end"
 )
 PAON = (
     f"case c_custkey % 6 when 0 then {NUMBER} when 1 then 'The ' || {NAME} || ' House, ' || {NUMBER} "
@@ -102,31 +100,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _on_customers(spark: SparkSession, sf_dir: str, fields: dict[str, str]) -> tuple[DataFrame, list]:
+    """Customers with the fields that need nothing else, and the select list for all fields.
+
+    Address parts are made once per customer, before its orders are joined.
+    """
+    own = {n: e for n, e in fields.items() if "c_" in e and "o_" not in e and "l_" not in e}
+    customers = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", *[F.expr(e).alias(n) for n, e in own.items()]
+    )
+    return customers, [
+        F.col(f"`{n}`") if n in own else F.expr(e).alias(n) for n, e in fields.items()
+    ]
+
+
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders seen as raw price-paid records."""
-    joined = (
+    customers, fields = _on_customers(spark, sf_dir, RAW_SALES)
+    return (
         table(spark, sf_dir, "orders")
-        .join(table(spark, sf_dir, "customer"), on=_eq("o_custkey", "c_custkey"))
-        .join(table(spark, sf_dir, "nation"), on=_eq("c_nationkey", "n_nationkey"))
-        .join(table(spark, sf_dir, "region"), on=_eq("n_regionkey", "r_regionkey"))
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(*fields)
     )
-    return joined.selectExpr(*[f"{e} as `{n}`" for n, e in RAW_SALES.items()])
 
 
 def raw_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items seen as raw energy certificates of the customer's address."""
-    joined = (
+    customers, fields = _on_customers(spark, sf_dir, RAW_CERTIFICATES)
+    return (
         table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), on=_eq("l_orderkey", "o_orderkey"))
-        .join(table(spark, sf_dir, "customer"), on=_eq("o_custkey", "c_custkey"))
+        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .select(*fields)
     )
-    return joined.selectExpr(*[f"{e} as `{n}`" for n, e in RAW_CERTIFICATES.items()])
-
-
-def _eq(a: str, b: str):
-    from pyspark.sql import functions as F
-
-    return F.col(a) == F.col(b)
 
 
 def raw_sales_sql() -> str:
