@@ -6,7 +6,7 @@ from gableframe.functions import address as A
 from gableframe.operators import linkage as K
 from gableframe.plans import cohort as C
 from gableframe.sources.lake import address_export
-from workload.registry import certificates, lake, register
+from workload.registry import certificates, lake, register  # noqa: F401
 from workload.twins import CERTS, LAKE, both
 from workload.views import raw_sales
 
