@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gableframe.functions.tokens import DIRECTIONS, FLAGS, Lookups, tokenize
 from gableframe.operators.sampling import uniform
 from gableframe.schema import TAG_LABELS
-from gableframe.scratch import shared_folder
+from gableframe.scratch import settle
 
 WORD_LIMIT = 200_000
 SALTS = 16
@@ -125,10 +125,7 @@ def fit_labels(
     shared folder, as several jobs will read them; the word table stays there.
     """
     labels = tuple(labels)
-    spark = labelled.sparkSession
-    path = shared_folder(spark, "label-events")
-    label_events(labelled, column, lookups).write.partitionBy("kind").parquet(path)
-    events = spark.read.parquet(path)
+    events = settle(label_events(labelled, column, lookups), "label-events")
     words = counts_per_label(events, "word", labels)
     if min_count > 1:
         words = words.where(sum((F.col(n) for n in labels), F.lit(0)) >= min_count)
@@ -424,11 +421,8 @@ def tune_smoothing(
     Counts do not depend on smoothing: one fit per fold serves all candidates.
     """
     fold = F.floor(uniform(F.col(f"`{key}`"), seed, "fold") * folds).cast("int")
-    path = shared_folder(labelled.sparkSession, "folds")
-    labelled.select(
-        F.col(f"`{key}`"), column, F.transform(column, lambda p: p["token"]).alias("__given"), fold.alias("__fold")
-    ).write.partitionBy("__fold").parquet(path)
-    rows = labelled.sparkSession.read.parquet(path)
+    given = F.transform(column, lambda p: p["token"]).alias("__given")
+    rows = settle(labelled.select(F.col(f"`{key}`"), column, given, fold.alias("__fold")), "folds")
     scored = None
     for k in range(folds):
         counts = fit_labels(rows.where(F.col("__fold") != k), column, labels, lookups)

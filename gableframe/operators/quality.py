@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gableframe.operators.market import col
 from gableframe.operators.quantiles import grouped_quantiles
+from gableframe.scratch import settle
 
 
 def percentile_pair(
@@ -62,8 +63,8 @@ def missingness(df: DataFrame) -> DataFrame:
 def value_mix(df: DataFrame, column: str) -> DataFrame:
     """Rows and share per value, the missing value included."""
     counts = df.groupBy(col(column)).agg(F.count(F.lit(1)).alias("n"))
-    # One row per distinct value: the total is taken over the aggregate, not over the rows.
-    total = df.agg(F.count(F.lit(1))).scalar()
+    # Summed over the aggregate, whose shuffle is reused, not over the rows.
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), col(column))
 
 
@@ -101,7 +102,11 @@ def histogram(
 def box_stats(
     df: DataFrame, by: str = "Property Type", value: str = "Price", reach: float = 1.5
 ) -> DataFrame:
-    """Quartiles, whiskers and number of suspected outliers per group."""
+    """Quartiles, whiskers and number of suspected outliers per group.
+
+    The quartiles are settled first: the rows then meet them without being shuffled by a key
+    that has few values.
+    """
     quartiles = grouped_quantiles(
         df, [by], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}
     ).withColumns(
@@ -115,7 +120,7 @@ def box_stats(
     )
     inside = F.col("__v").between(F.col("__lo"), F.col("__hi"))
     return (
-        rows.join(quartiles, by)
+        rows.join(settle(quartiles, "quartiles"), by)
         .groupBy(col(by), "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("__v"))).alias("lower_whisker"),
@@ -130,14 +135,15 @@ def density(
 ) -> DataFrame:
     """Share of each equal-width bin within its group.
 
-    Limits and bin counts are map-side aggregates; a group has at most `bins` rows.
+    Limits and bin counts are map-side aggregates; a group has at most `bins` rows. The limits
+    are settled first, so that the rows meet them without a shuffle.
     """
     rows = df.select(col(by), col(value).cast("double").alias("__v")).where(
         col(by).isNotNull() & F.col("__v").isNotNull() & ~F.isnan("__v")
     )
     limits = rows.groupBy(col(by)).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     counts = (
-        rows.join(limits, by)
+        rows.join(settle(limits, "limits"), by)
         .groupBy(
             col(by), "lo", "hi", bin_of(F.col("__v"), F.col("lo"), F.col("hi"), bins).alias("bin")
         )

@@ -14,9 +14,10 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets per e-fold of the value: a bucket spans under one per cent of its value, and the
-# finite doubles need at most 2 * 709 * 128 buckets.
-BUCKETS_PER_EFOLD = 128
+# Buckets per e-fold of the value: a bucket spans a thousandth of its value, a group of prices
+# from ten thousand to a hundred million has under ten thousand buckets, and no group of
+# finite doubles can have more than 2 * 710 * 1024.
+BUCKETS_PER_EFOLD = 1024
 
 
 def value_bucket(v: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gableframe.operators.linkage import HASH_DIGITS, hash_order
+from gableframe.scratch import settle
 
 SPAN = float(2**32)
 
@@ -33,15 +34,16 @@ def _hashed(df: DataFrame, key: str, seed: object) -> DataFrame:
 def _last_draw(
     rows: DataFrame, cells: DataFrame, order: Sequence[str], n: Column, within: Sequence[str] = ()
 ) -> DataFrame:
-    """The draw of the n-th row by (order, draw), per group of `within`.
+    """The row that is n-th by (order, draw), per group of `within`.
 
-    `cells` counts rows per group and value of `order`. A group of fewer rows gives none.
+    `cells` counts rows per group and value of `order`. A group of fewer rows gives none. Where
+    those rows lie is settled first, one entry per group, and the rows are filtered by it.
     """
     keys = [*within, *order]
     before = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     holding = placed.where((F.col("__from") < n) & (n <= F.col("__from") + F.col("__n")))
-    needed = holding.select(*keys, (n - F.col("__from")).alias("__need"))
+    needed = settle(holding.select(*keys, (n - F.col("__from")).alias("__need")), "needed")
     ranks = Window.partitionBy(*keys).orderBy("__draw")
     return (
         rows.join(needed, keys)
@@ -53,9 +55,11 @@ def _last_draw(
 def random_subset(df: DataFrame, n: int, key: str, seed: object = 42) -> DataFrame:
     """`n` rows drawn without replacement, or all when there are not more."""
     rows = _hashed(df, key, seed)
+    if n <= 0:
+        return df.limit(0)
     cells = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     last = _last_draw(rows, cells, ["__p"], F.lit(n)).select("__draw").scalar()
-    return rows.where(F.coalesce(F.col("__draw") <= last, F.lit(n > 0))).drop("__draw", "__p")
+    return rows.where(F.coalesce(F.col("__draw") <= last, F.lit(True))).drop("__draw", "__p")
 
 
 def balanced_sample(
@@ -66,21 +70,27 @@ def balanced_sample(
     Every stratum gives up to n_total divided by the number of strata, at least one; what is
     then missing comes from the remaining rows of all strata together. Of more strata than
     rows wanted, the first rows by hash are kept. Of no more rows than wanted, all are kept.
+
+    Keys, strata and draws are written to the shared folder once; the cuts come from that narrow
+    table, and the rows are read a second time to be filtered.
     """
-    rows = _hashed(df.withColumn("__s", stratum), key, seed)
-    cells = rows.groupBy("__s", "__p").agg(F.count(F.lit(1)).alias("__n"))
+    drawn = _hashed(df.withColumn("__s", stratum), key, seed)
+    draws = settle(drawn.select("__s", "__draw", "__p"), "draws")
+    cells = settle(draws.groupBy("__s", "__p").agg(F.count(F.lit(1)).alias("__n")), "cells")
     strata = cells.agg(F.count_distinct("__s").alias("k"))
     quota = strata.select(
         F.greatest(F.lit(1), F.floor(F.lit(n_total) / F.greatest("k", F.lit(1)))).cast("bigint")
     ).scalar()
     # Last draw of each stratum's share; a stratum that is used up has none.
-    shares = _last_draw(rows, cells, ["__p"], quota, ["__s"]).select(
-        "__s", F.col("__draw").alias("__last")
-    )
-    in_share = F.coalesce(F.col("__draw") <= F.col("__last"), F.lit(True))
-    tiered = rows.join(shares, "__s", "left").withColumn(
-        "__tier", F.when(in_share, F.lit(0)).otherwise(F.lit(1))
-    )
+    last_of_share = _last_draw(draws, cells, ["__p"], quota, ["__s"])
+    shares = settle(last_of_share.select("__s", F.col("__draw").alias("__last")), "shares")
+
+    def tiered(rows: DataFrame) -> DataFrame:
+        in_share = F.coalesce(F.col("__draw") <= F.col("__last"), F.lit(True))
+        return rows.join(shares, "__s", "left").withColumn(
+            "__tier", F.when(in_share, F.lit(0)).otherwise(F.lit(1))
+        )
+
     # Rows per tier and prefix follow from the histogram: no further count of rows.
     before = Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     own = F.least(
@@ -103,12 +113,12 @@ def balanced_sample(
         .where(F.col("__n") > 0)
     )
     last = (
-        _last_draw(tiered, tiers, ["__tier", "__p"], F.lit(n_total))
+        _last_draw(tiered(draws), tiers, ["__tier", "__p"], F.lit(n_total))
         .select(F.struct("__tier", "__draw"))
         .scalar()
     )
     taken = F.coalesce(F.struct("__tier", "__draw") <= last, F.lit(True))
-    return tiered.where(taken).drop("__draw", "__p", "__s", "__last", "__tier")
+    return tiered(drawn).where(taken).drop("__draw", "__p", "__s", "__last", "__tier")
 
 
 def train_holdout(df: DataFrame, key: str, ratio: float = 0.1, seed: object = 42) -> DataFrame:

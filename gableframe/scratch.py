@@ -1,9 +1,9 @@
-"""A folder that all executors see."""
+"""A folder that all executors see, and tables kept in it."""
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -20,3 +20,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="run-")
         spark.conf.set(SETTING, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the shared folder and read from there.
+
+    Cuts the lineage, and tells the planner the true size: a side that turned out small is
+    broadcast in later joins, one that is not is shuffled, without a hint either way.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

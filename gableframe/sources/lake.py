@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gableframe.plans.certificates import enrich_certificates, link_keys, year_range
 from gableframe.schema import LAYOUTS
+from gableframe.scratch import settle
 from gableframe.sources.csv import TEXT_FILES, list_files, read_delimited
 
 # The codecs on offer.
@@ -30,9 +31,10 @@ def one_file_per_leaf(df: DataFrame, keys: list[str], rows_per_file: int = ROWS_
     sizes come from a count of the keys alone, and rows of a large folder are spread by the
     hash of all their columns.
     """
-    sizes = df.groupBy(*keys).agg(
+    counts = df.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int").alias("__files")
     )
+    sizes = settle(counts, "leaf-sizes")
     # Null-safe: a missing key value is a folder too.
     left, right = df.alias("rows"), sizes.alias("sizes")
     same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"sizes.{k}")) for k in keys]
