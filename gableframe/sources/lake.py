@@ -3,6 +3,7 @@
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePosixPath
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ def _codec(compression: str) -> str:
 def one_file_per_leaf(df: DataFrame, keys: list[str], rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Rows shuffled so that each partition folder gets exactly one file (K6).
 
-    A folder with more than `rows_per_file` rows gets as many files as that takes, so that a
-    hot one, such as the sentinel for unknown postcodes, is not written by a single task. The
-    sizes come from a count of the keys alone, and rows of a large folder are spread by the
+    The rows of a folder with more than `rows_per_file` rows are dealt out to as many tasks as
+    that takes, so that a hot one, such as the sentinel for unknown postcodes, is not written by
+    a single task; its files then hold about that many rows, at most twice as many. The sizes come from a count of the keys alone, and rows of a large folder are spread by the
     hash of all their columns.
     """
     counts = df.groupBy(*keys).agg(
@@ -74,7 +75,7 @@ def write_partitioned(
         out = df.write.option("maxRecordsPerFile", rows_per_file)
     else:
         laid = one_file_per_leaf(df, keys, rows_per_file) if single_file_leaves else df
-        out = laid.write.partitionBy(*keys)
+        out = laid.write.option("maxRecordsPerFile", 2 * rows_per_file).partitionBy(*keys)
     out.mode(mode).option("compression", _codec(compression)).parquet(path)
 
 
@@ -126,7 +127,8 @@ def write_address_export(
     """Address columns, one folder per sale year (K9)."""
     # Laid out with all columns: copies of an address differ by their transaction, and so spread.
     laid = address_export(one_file_per_leaf(sales, ["sale_year"], rows_per_file))
-    laid.write.partitionBy("sale_year").mode(mode).option("compression", "zstd").parquet(path)
+    out = laid.write.option("maxRecordsPerFile", 2 * rows_per_file).partitionBy("sale_year")
+    out.mode(mode).option("compression", "zstd").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -158,7 +160,7 @@ def convert_csv_tree(
             read_delimited(spark, path, all_text).write.mode(mode).option(
                 "compression", _codec(compression)
             ).parquet(out)
-        except PySparkException as e:
+        except (PySparkException, Py4JJavaError) as e:
             return path, out, str(e).splitlines()[0]
         return path, out, None
 
