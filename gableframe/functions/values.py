@@ -45,12 +45,27 @@ def date_parts(c: Column) -> dict[str, Column]:
     }
 
 
+# Accepted date formats, each with the shape of text it is tried on. A text of
+# no accepted shape is not parsed, as a failing parse costs far more than a test.
+ISO_DAY = ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$")
+DAY_FIRST = ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$")
+ISO_MINUTE = ("yyyy-M-d H:m", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$")
+ISO_SECOND = ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$")
+
+
+def parse_date(c: Column, *formats: tuple[str, str]) -> Column:
+    """Date by the first format whose shape the text has, null when there is none."""
+    text = c.cast("string")
+    tries = [
+        F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in formats
+    ]
+    return F.coalesce(*tries).cast("date")
+
+
 def sale_date(c: Column) -> Column:
     """ISO or day-first date taken from the text before the first space."""
     head = F.split_part(c.cast("string"), F.lit(" "), F.lit(1))
-    return F.coalesce(
-        F.try_to_date(head, "yyyy-MM-dd"), F.try_to_date(head, "dd/MM/yyyy")
-    )
+    return parse_date(head, ISO_DAY, DAY_FIRST)
 
 
 def month_start(year: Column, month: Column) -> Column:
@@ -61,12 +76,8 @@ def month_start(year: Column, month: Column) -> Column:
 
 def certificate_date(lodged: Column, inspected: Column) -> Column:
     """Lodgement date in any of three formats, else the inspection date."""
-    # The formats certificates are delivered in.
-    formats = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss")
-    tries = [
-        F.try_to_timestamp(c.cast("string"), F.lit(f)) for c in (lodged, inspected) for f in formats
-    ]
-    return F.coalesce(*tries).cast("date")
+    formats = (ISO_DAY, ISO_MINUTE, ISO_SECOND)
+    return F.coalesce(parse_date(lodged, *formats), parse_date(inspected, *formats))
 
 
 def days_apart(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gableframe.scratch import settle
+
 TERMS = ("Property Type", "Old/New", "Duration", "Year", "Month", "Outward")
 
 
@@ -21,10 +23,12 @@ def hedonic(df: DataFrame, price: str = "Price", terms: Sequence[str] = TERMS) -
     coefficient and the premium in per cent, exp(coefficient) - 1, plus one for the intercept.
     The fit is distributed; only the coefficients come to the driver.
     """
-    rows = df.select(
+    # Fitting reads the rows once per term, so they are settled as a narrow table first.
+    model_rows = df.select(
         F.ln(F.col(f"`{price}`")).alias("log_price"),
         *[F.col(f"`{t}`").cast("string").alias(_safe(t)) for t in terms],
     ).dropna()
+    rows = settle(model_rows, "hedonic")
     # In descending order the level left out, the last one, is the first of the alphabet.
     formula = RFormula(
         formula="log_price ~ " + " + ".join(_safe(t) for t in terms),

@@ -145,7 +145,7 @@ def certificate_side(df: DataFrame) -> DataFrame:
     ]
     stored = [F.col("addr_key")] if "addr_key" in df.columns else []
     date = [
-        F.try_to_timestamp(F.substring(F.col(c).cast("string"), 1, 10), F.lit("yyyy-MM-dd")).cast("date")
+        V.parse_date(F.substring(F.col(c).cast("string"), 1, 10), V.ISO_DAY)
         for c in ("INSPECTION_DATE", "LODGEMENT_DATE")
     ]
     keys = {

@@ -14,7 +14,7 @@ from gableframe.scratch import shared_folder
 from gableframe.schema import RENDER_LABELS
 from workload.addresses import COHORT, CERTS, cohort, certificates
 from workload.registry import on_sales, register
-from workload.views import table
+from workload.views import spread, table
 
 SEED = 2025
 COHORT_FIELDS = (
@@ -293,7 +293,7 @@ register(
 )
 register(
     "tokenize_documents",
-    lambda s, d: table(s, d, "documents").select(
+    lambda s, d: spread(table(s, d, "documents")).select(
         "doc_id", F.size(T.tokenize(F.col("text"), place_lookups(s, d))).alias("tokens")
     ),
 )
@@ -328,11 +328,21 @@ register(
     lambda s, d: T.sequence_features(
         address_lines(s, d).select("LMK_KEY", T.tokenize(F.col("line"), PLAIN).alias("tokens")), "tokens", FEATURE_LOOKUPS
     )
-    .select("LMK_KEY", F.posexplode("features").alias("pos", "f"))
     .select(
-        "LMK_KEY", "pos", F.col("f.own.length").alias("own"), F.col("f.previous.digits").alias("previous"),
-        F.col("f.next.word").alias("next"), "f.rawstring_start", "f.rawstring_end", "f.singleton",
-        "f.previous_is_start", "f.next_is_end",
+        "LMK_KEY",
+        F.inline(
+            F.transform(
+                "features",
+                lambda f, i: F.struct(
+                    i.alias("pos"), f["own"]["length"].alias("own"), f["previous"]["digits"].alias("previous"),
+                    f["next"]["word"].alias("next"),
+                    *[
+                        f[c].alias(c)
+                        for c in ("rawstring_start", "rawstring_end", "singleton", "previous_is_start", "next_is_end")
+                    ],
+                ),
+            )
+        ),
     ),
     TOKENS
     + r""", e as (select "LMK_KEY", len(tokens) as n, unnest(tokens) as t, generate_subscripts(tokens, 1) - 1 as pos from tokens)

@@ -100,6 +100,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt out to all cores when it has fewer splits than there are cores.
+
+    A small table arrives as one split, which one core would have to clean by itself. A table
+    of many splits is left as it is: nothing is shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _on_customers(spark: SparkSession, sf_dir: str, fields: dict[str, str]) -> tuple[DataFrame, list]:
     """Customers with the fields that need nothing else, and the select list for all fields.
 
@@ -118,7 +128,7 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders seen as raw price-paid records."""
     customers, fields = _on_customers(spark, sf_dir, RAW_SALES)
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -130,7 +140,7 @@ def raw_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items seen as raw energy certificates of the customer's address."""
     customers, fields = _on_customers(spark, sf_dir, RAW_CERTIFICATES)
     return (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select(*fields)
