@@ -25,6 +25,14 @@ def with_limits(df: DataFrame, limits: DataFrame) -> DataFrame:
     ).drop("__limits")
 
 
+def _limits(df: DataFrame, value: str, lower: float, upper: float) -> tuple[Column, Column]:
+    """The percentiles as constants. Two numbers come to the driver, so that a filter on them
+    reaches the scan and the plan of what follows stays small."""
+    row = percentile_pair(df, value, lower, upper).first()
+    lo, hi = (row.lo, row.hi) if row else (None, None)
+    return F.lit(lo).cast("double"), F.lit(hi).cast("double")
+
+
 def winsorise(
     df: DataFrame,
     value: str = "Price",
@@ -33,21 +41,17 @@ def winsorise(
     out: str = "Price_w",
 ) -> DataFrame:
     """Adds the value clipped to its percentiles; a missing value stays missing."""
-    limited = with_limits(df, percentile_pair(df, value, lower, upper))
-    clipped = F.least(F.greatest(col(value), F.col("__lo")), F.col("__hi"))
-    return limited.withColumn(out, F.when(col(value).isNotNull(), clipped)).drop("__lo", "__hi")
+    lo, hi = _limits(df, value, lower, upper)
+    clipped = F.least(F.greatest(col(value), lo), hi)
+    return df.withColumn(out, F.when(col(value).isNotNull(), clipped))
 
 
 def outliers(
     df: DataFrame, value: str = "Price", lower: float = 0.01, upper: float = 0.99
 ) -> DataFrame:
     """Rows outside the percentiles, highest value first."""
-    limited = with_limits(df, percentile_pair(df, value, lower, upper))
-    return (
-        limited.where((col(value) < F.col("__lo")) | (col(value) > F.col("__hi")))
-        .drop("__lo", "__hi")
-        .orderBy(F.desc(f"`{value}`"))
-    )
+    lo, hi = _limits(df, value, lower, upper)
+    return df.where((col(value) < lo) | (col(value) > hi)).orderBy(F.desc(f"`{value}`"))
 
 
 def missingness(df: DataFrame) -> DataFrame:
