@@ -12,8 +12,9 @@ from gableframe.plans import rendering as X
 from gableframe.plans.cohort import has_signal, without_copies
 from gableframe.scratch import shared_folder
 from gableframe.schema import RENDER_LABELS
-from workload.addresses import COHORT, CERTS, cohort, certificates
-from workload.registry import on_sales, register
+from workload.addresses import COHORT, cohort
+from workload.registry import certificates, lake, on_sales, register
+from workload.twins import CERTS, LAKE
 from workload.views import spread, table
 
 SEED = 2025
@@ -268,8 +269,6 @@ def place_lookups(spark, sf_dir):
 
 def county_lines(spark, sf_dir):
     """Address lines that name a region, some of them where it must stay."""
-    from workload.registry import lake
-
     return lake(spark, sf_dir).select(
         "Transaction ID",
         F.concat_ws(
@@ -278,19 +277,45 @@ def county_lines(spark, sf_dir):
     )
 
 
-# Look-behind has no counterpart in DuckDB: these two are compared with Python's in tests.
+REGIONS = "AFRICA|AMERICA|ASIA|EUROPE|MIDDLE EAST"
+_KEPT = "|".join(dict.fromkeys([*T.KEPT_BEFORE, *T.COMPANY, *T.FLAT, *T.RESIDENTIAL, *T.ROAD]))
+
+
+def without_regions(c):
+    """DuckDB has no look-around: names that stay are marked and put in lower case, the rest is removed."""
+    marked = rf"regexp_replace(regexp_replace({c}, '\b(ON|DINAS|UPON|[0-9])\s({REGIONS})', '\1 ~\2', 'g'), "
+    marked += rf"'({REGIONS})(\s(?:{_KEPT})\b)', '~\1\2', 'g')"
+    for name in REGIONS.split("|"):
+        marked = f"replace({marked}, '~{name}', '~{name.lower()}')"
+    return f"upper(replace(regexp_replace({marked}, '{REGIONS}', '', 'g'), '~', ''))"
+
+
+COUNTY_LINES = LAKE + """, lines as (select "Transaction ID", upper(concat_ws(' ', "PAON",
+    case when "Transaction ID"::bigint % 3 = 0 then 'upon' end, "County", "Street", "County")) as line from lake)
+"""
 register(
     "remove_counties",
     lambda s, d: county_lines(s, d).select(
         "Transaction ID", T.remove_counties(F.upper("line"), place_lookups(s, d).counties).alias("line")
     ),
+    COUNTY_LINES + f"""select "Transaction ID", {without_regions('line')} as line from lines""",
 )
 register(
     "tokenize_with_counties",
     lambda s, d: county_lines(s, d).select(
         "Transaction ID", F.array_join(T.tokenize(F.col("line"), place_lookups(s, d)), "|").alias("tokens")
     ),
+    COUNTY_LINES
+    + rf""", r0 as (select "Transaction ID", {without_regions('line')} as line from lines),
+    r1 as (select "Transaction ID", regexp_replace(regexp_replace(regexp_replace(line,
+    '(\d+[A-Z]?) *- *(\d+[A-Z]?)', '\1-\2', 'g'), '(\d+)/(\d+)', '\1-\2', 'g'), '(\d+) *TO *(\d+)', '\1-\2', 'g') as t from r0),
+    r2 as (select "Transaction ID", array_to_string(list_transform(list_filter(string_split_regex(
+    replace(replace(replace(replace(replace(t, ' IN ', ' '), ' CO ', ' '), ' - ', ' '), ',', ' '), '\', ' '), '\s+'),
+    lambda w: w <> ''), lambda w: case w {_SYN} else w end), ' ') as t from r1)
+    select "Transaction ID", array_to_string(regexp_extract_all({without_regions('t')},
+    '\(*\b[^\s,;#&()]+[.,;)\n]*|[#&]'), '|') as tokens from r2""",
 )
+# Its letters go beyond those that DuckDB's word boundary knows: compared with Python's in tests.
 register(
     "tokenize_documents",
     lambda s, d: spread(table(s, d, "documents")).select(
