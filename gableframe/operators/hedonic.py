@@ -20,7 +20,7 @@ def hedonic(df: DataFrame, price: str = "Price", terms: Sequence[str] = TERMS) -
     """Effect of each level of each term on the log price, against the first level of the term.
 
     Every term is categorical. The result has one row per level but the first ones, with the
-    coefficient and the premium in per cent, exp(coefficient) - 1, plus one for the intercept.
+    coefficient and the premium in per cent, exp(coefficient) - 1, plus one for the intercept, which is no premium.
     The fit is distributed; only the coefficients come to the driver.
     """
     # Fitting reads the rows once per term, so they are settled as a narrow table first.
@@ -44,4 +44,5 @@ def hedonic(df: DataFrame, price: str = "Price", terms: Sequence[str] = TERMS) -
         term = max((_safe(t) for t in terms if names[i].startswith(_safe(t) + "_")), key=len)
         effects.append((term, names[i][len(term) + 1 :], float(coefficient)))
     table = df.sparkSession.createDataFrame(effects, "term string, level string, coefficient double")
-    return table.withColumn("premium_pct", (F.exp("coefficient") - 1.0) * 100.0)
+    premium = (F.exp("coefficient") - 1.0) * 100.0
+    return table.withColumn("premium_pct", F.when(F.col("term") != "intercept", premium))

@@ -499,3 +499,14 @@ register(
     lambda s, d: L.tune_smoothing(labelled(s, d), "id", L.draw_smoothing(2, SEED), 3, SEED, labels=RENDER_LABELS),
 )
 on_sales("hedonic", hedonic)
+# With one term the effects are differences of means, which SQL can state.
+on_sales(
+    "hedonic_one_term",
+    lambda df: hedonic(df, terms=("Property Type",)),
+    """, g as (select "Property Type" as level, avg(ln("Price")) as m from sales where "Property Type" is not null group by 1),
+    b as (select m from g order by level limit 1), e as (
+    select 'intercept' as term, '' as level, m as coefficient from b union all
+    select 'property_type', level, g.m - b.m from g, b where level <> (select min(level) from g))
+    select term, level, round(coefficient, 6) as coefficient,
+    case when term <> 'intercept' then round((exp(coefficient) - 1) * 100, 6) end as premium_pct from e""",
+)
