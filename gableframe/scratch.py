@@ -1,33 +1,64 @@
-"""A folder that all executors see, and tables kept in it."""
+"""Tables kept for a while in a folder that all executors see."""
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+# Removes the files of a shuffle as soon as the job that made them is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: dict[SparkSession, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path under the folder named by the session.
+    """A new path under the folder that the session names for data shared by driver and executors.
 
-    Where the session names none, as in local tests, a temporary folder is set for it.
+    release() deletes it; so does the end of the driver. A session within one process, as in
+    local trials, gets a temporary folder if it names none.
     """
     base = spark.conf.get(SETTING, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-")
         spark.conf.set(SETTING, base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release)
+    _made.setdefault(spark, []).append(path)
+    return path
 
 
-def settle(df: DataFrame, purpose: str) -> DataFrame:
+def release() -> None:
+    """Deletes all that settle wrote in this process. Frames that read it cannot be used any more."""
+    while _made:
+        spark, paths = _made.popitem()
+        if spark.sparkContext._jsc is None:
+            continue
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in paths:
+            target = files.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def settle(df: DataFrame, purpose: str, drop_shuffles: bool = False) -> DataFrame:
     """The rows written to the shared folder and read from there.
 
     Cuts the lineage, and tells the planner the true size: a side that turned out small is
-    broadcast in later joins, one that is not is shuffled, without a hint either way.
+    broadcast in later joins, one that is not is shuffled, without a hint either way. With
+    drop_shuffles the shuffles behind it leave the disk once the rows are written.
     """
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    before = spark.conf.get(CLEANUP, None)
+    if drop_shuffles:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
