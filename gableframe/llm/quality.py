@@ -104,8 +104,8 @@ RULES: list[Rule] = [
 ]
 
 
-def _with_words(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("__words", words_of(F.col(f"`{text_col}`")))
+def _judged(text: Column, condition: Callable[[dict[str, Column]], Column]) -> Column:
+    return _let(words_of(text), lambda words: condition(signals(text, words)))
 
 
 def in_order_of_yield(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES) -> list[Rule]:
@@ -115,19 +115,18 @@ def in_order_of_yield(docs: DataFrame, text_col: str = "text", rules: list[Rule]
     it. So a sample that differs, or a slow machine, changes no result.
     """
     sample = settle(docs.select(F.col(f"`{text_col}`").alias("text")).sample(0.2, SAMPLE_SEED).limit(SAMPLE_ROWS), "sample")
-    sample = _with_words(sample, "text")
-    found = signals(F.col("text"), F.col("__words"))
-
     def measured(condition: Column) -> tuple[float, int]:
         start = time.perf_counter()
         rejected = sample.agg(F.count_if(condition)).first()[0]
         return time.perf_counter() - start, rejected
 
-    measured(F.size("__words") < 0)  # compiles what all rules share
-    idle = measured(F.size("__words") < 0)[0]
+    text = F.col("text")
+    idle_rule = _judged(text, lambda found: found["n_words"] < 0)
+    measured(idle_rule)  # compiles what all rules share
+    idle = measured(idle_rule)[0]
     gain = {}
     for name, condition in rules:
-        seconds, rejected = measured(condition(found))
+        seconds, rejected = measured(_judged(text, condition))
         gain[name] = rejected / max(seconds - idle, 0.001)
     return sorted(rules, key=lambda rule: -gain[rule[0]])
 
@@ -146,21 +145,27 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES
     Null and empty texts have no words and are rejected. Repeated rows are judged alike.
     """
     ordered = in_order_of_yield(docs, text_col, rules)
-    found = signals(F.col(f"`{text_col}`"), F.col("__words"))
-    return _with_words(docs, text_col).where(first_rejection(ordered, found).isNull()).drop("__words")
+    text = F.col(f"`{text_col}`")
+    return docs.where(_judged(text, lambda found: first_rejection(ordered, found)).isNull())
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """Per row: doc_id, the signals, base_failed and kept. A null text counts as an empty one."""
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     ordered = in_order_of_yield(slim, "text", rules)
-    found = signals(F.col("text"), F.col("__words"))
-    shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    based = _with_words(slim, "text").select("doc_id", "text", "__words", *[found[k].alias(k) for k in shown])
-    known = found | {k: F.col(k) for k in shown}
-    failed = F.lit(False)
-    for _, condition in BASE_RULES:
-        failed = failed | condition(known)
-    return based.select(
-        "doc_id", *shown, failed.alias("base_failed"), first_rejection(ordered, known).isNull().alias("kept")
-    )
+    text, shown = F.col("text"), ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+    def verdict(words: Column) -> Column:
+        found = signals(text, words)
+
+        def decide(base: Column) -> Column:
+            known = found | {k: base[k] for k in shown}
+            failed = F.lit(False)
+            for _, condition in BASE_RULES:
+                failed = failed | condition(known)
+            kept = ~failed & first_rejection(ordered, known).isNull()
+            return F.struct(*[known[k].alias(k) for k in shown], failed.alias("base_failed"), kept.alias("kept"))
+
+        return _let(F.struct(*[found[k].alias(k) for k in shown]), decide)
+
+    return slim.select("doc_id", _let(words_of(text), verdict).alias("v")).select("doc_id", "v.*")
