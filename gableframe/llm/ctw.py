@@ -4,7 +4,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -13,14 +12,16 @@ from pyspark.sql import functions as F
 from gableframe.llm.text import bodies, id_and_text
 from gableframe.scratch import settle
 
-DEPTH = 3
+# Bytes of context, seven at most.
+DEPTH = 5
 FOLDS, HELD_OUT = 7, 2
 # Contexts with a smaller share of all bytes than this share one leaf with their like.
-MIN_SHARE = 2e-5
+MIN_SHARE = 1e-5
 # The most frequent words, at most so many, travel with the tasks; all others are joined.
 HEAD_WORDS = 200_000
 WORDS_AT_ONCE = 400_000
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 23
+PIECE = 1 << 16
 STEPS_PER_OCTAVE = 16
 # Ends a text: no byte of UTF-8.
 END = b"\xff"
@@ -33,33 +34,38 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
+def _framed(body: bytes) -> np.ndarray:
+    return np.frombuffer(START + body.lower() + END, np.uint8)
+
+
 def codes(body: bytes) -> np.ndarray:
-    """For each byte of the lower-cased text and its end: the three bytes before it, and itself."""
-    b = np.frombuffer(START + body.lower() + END, np.uint8).astype(np.uint32)
-    return b[:-3] << np.uint32(24) | b[1:-2] << np.uint32(16) | b[2:-1] << np.uint32(8) | b[3:]
+    """For each byte of the lower-cased text and its end: the bytes before it, and itself, as one number."""
+    b = _framed(body).astype(np.uint64)
+    code = b[: len(b) - DEPTH]
+    for i in range(1, DEPTH + 1):
+        code = code << np.uint64(8) | b[i : len(b) - DEPTH + i]
+    return code
 
 
 def count_codes(docs: DataFrame) -> DataFrame:
-    """(code, n): occurrences of all four-byte strings, added up in tasks first."""
+    """(code, n): occurrences of all bytes after their context, added up in tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = pd.Series(dtype=np.int64), [], 0
+        held, size = [], 0
 
-        def added() -> pd.Series:
+        def out() -> pa.RecordBatch:
             at, n = np.unique(np.concatenate(held), return_counts=True)
-            return total.add(pd.Series(n, at), fill_value=0).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n)], ["code", "n"])
 
         for batch in batches:
             for body in bodies(batch):
                 held.append(codes(body or b""))
                 size += len(held[-1])
                 if size >= BYTES_AT_ONCE:
-                    total, held, size = added(), [], 0
+                    yield out()
+                    held, size = [], 0
         if held:
-            total = added()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(total.index.to_numpy().astype(np.int64)), pa.array(total.to_numpy().astype(np.int64))], ["code", "n"]
-        )
+            yield out()
 
     return docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -100,7 +106,7 @@ def _bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones at each of the 255 decisions by which a byte is told, from byte counts (k, 256)."""
     zeros, ones = [], []
     for level in range(8):
-        halves = counts.reshape(len(counts), 1 << level, 2, -1).sum(axis=3)
+        halves = counts.reshape(len(counts), 1 << level, 2, 128 >> level).sum(axis=3)
         zeros.append(halves[:, :, 0])
         ones.append(halves[:, :, 1])
     return np.concatenate(zeros, axis=1).astype(float), np.concatenate(ones, axis=1).astype(float)
@@ -118,7 +124,7 @@ def _byte_table(ones: np.ndarray) -> np.ndarray:
     total = np.zeros((len(ones), 1))
     for level in range(8):
         p = ones[:, (1 << level) - 1 : (2 << level) - 1]
-        total = np.stack([total + np.log10(1 - p), total + np.log10(p)], axis=2).reshape(len(ones), -1)
+        total = np.stack([total + np.log10(1 - p), total + np.log10(p)], axis=2).reshape(len(ones), 2 << level)
     return total.astype(np.float32)
 
 
@@ -135,53 +141,49 @@ class Tree:
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         """levels[d]: the kept contexts of d bytes in order, the nearest byte lowest, and their byte counts (k, 256)."""
         keys, counts = map(list, zip(*levels, strict=True))
-        parents = [None, *[np.searchsorted(keys[d - 1], keys[d] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, len(keys))]]
-        seen, one = zip(*map(_kt, counts), strict=True)
-        rest, below = [], [None] * len(keys)
-        weighted = list(seen)
-        for d in range(len(keys) - 2, -1, -1):
+        last = len(keys) - 1
+        parents = [None, *[np.searchsorted(keys[d - 1], keys[d] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, last + 1)]]
+        # Upwards: what the data say of each node by itself, and of the leaves below it.
+        shares, rest = [1.0] * (last + 1), [None] * (last + 1)
+        below = _kt(counts[last])[0]
+        for d in range(last - 1, -1, -1):
             left = counts[d].copy()
             np.subtract.at(left, parents[d + 1], counts[d + 1])
-            rest.insert(0, _kt(left))
-            below[d] = rest[0][0].copy()
-            np.add.at(below[d], parents[d + 1], weighted[d + 1])
-            weighted[d] = np.logaddexp(seen[d], below[d]) - np.log(2)
-        mixed, open_ = np.zeros((1, NODES)), np.ones((1, NODES))
-        tables, self.rows = [], []
-        first = 0
-        for d in range(len(keys)):
+            own, (product, rest[d]) = _kt(counts[d])[0], _kt(left)
+            np.add.at(product, parents[d + 1], below)
+            below = np.logaddexp(own, product) - np.log(2)
+            shares[d] = np.exp(own - np.log(2) - below)
+        # Downwards: each node adds its estimate to the mixture of the nodes above it.
+        mixed, open_, tables = np.zeros((1, NODES)), np.ones((1, NODES)), []
+        for d in range(last + 1):
             if d:
                 mixed, open_ = mixed[parents[d]], open_[parents[d]]
-            inner = d + 1 < len(keys)
-            share = np.exp(seen[d] - np.log(2) - weighted[d]) if inner else 1.0
-            mixed = mixed + open_ * share * one[d]
-            open_ = open_ * (1 - share)
-            tables.append(_byte_table(mixed + open_ * rest[d][1] if inner else mixed))
-            self.rows.append((keys[d], first + np.arange(len(keys[d]))))
-            first += len(keys[d])
+            mixed = mixed + open_ * shares[d] * _kt(counts[d])[1]
+            open_ = open_ * (1 - shares[d])
+            tables.append(_byte_table(mixed + open_ * rest[d] if d < last else mixed))
         self.table = np.concatenate(tables)
-        self._lay_out()
-
-    def _lay_out(self) -> None:
-        """Rows of the table by context: a block per kept pair of bytes, and one per other last byte."""
-        (_, root), (k1, r1), (k2, r2), (k3, r3) = self.rows
-        last = np.full(256, root[0])
-        last[k1] = r1
-        blocks = np.concatenate([np.repeat(last[:, None], 256, 1), np.repeat(r2[:, None], 256, 1)])
-        self.block = np.tile(np.arange(256), 256)
-        self.block[k2] = 256 + np.arange(len(k2))
-        blocks[self.block[k3 & 0xFFFF], k3 >> 16] = r3
-        self.block, self.blocks = self.block.astype(np.int32), blocks.astype(np.int32).ravel()
+        first = np.cumsum([0, *map(len, keys)])
+        # The longer context that a byte before makes of an inner node, -1 for one that is not kept.
+        self.longer = np.full(first[last] * 256, -1, np.int32)
+        for d in range(1, last + 1):
+            at = (first[d - 1] + parents[d]) * 256 + (keys[d] >> 8 * (d - 1))
+            self.longer[at] = first[d] + np.arange(len(keys[d]))
 
     def log10(self, body: bytes) -> float:
         """log10 probability of a text and its end."""
         total = 0.0
-        for at in range(0, len(body) + 1, BYTES_AT_ONCE):  # a piece looks back over the bytes before it
-            code = codes(body[max(0, at - DEPTH) : at + BYTES_AT_ONCE])[min(at, DEPTH) :]
-            if at + BYTES_AT_ONCE <= len(body):
-                code = code[:-1]
-            context = self.blocks[self.block[code >> np.uint32(8) & np.uint32(0xFFFF)] * 256 + (code >> np.uint32(24)).astype(np.int64)]
-            total += float(self.table[context, code & np.uint32(0xFF)].sum(dtype=np.float64))
+        for at in range(0, len(body) + 1, PIECE):  # a piece looks back over the bytes before it
+            lead = min(at, DEPTH)
+            b = _framed(body[at - lead : at + PIECE])[lead:]
+            if at + PIECE <= len(body):
+                b = b[:-1]
+            n = len(b) - DEPTH
+            node, going = np.zeros(n, np.int64), np.arange(n)
+            for d in range(1, DEPTH + 1):
+                found = self.longer[node[going] * 256 + b[going + (DEPTH - d)]]
+                going = going[found >= 0]
+                node[going] = found[found >= 0]
+            total += float(self.table[node, b[DEPTH:]].sum(dtype=np.float64))
         return total
 
 

@@ -16,6 +16,8 @@ SIZES = (1, 2, 3)
 FOLDS = 5
 # About so many labelled texts of each language are learnt from; a fifth of them sets the temperature.
 SAMPLE_PER_LANGUAGE = 1500
+# Features are small, as their shares sum up to one per size of n-gram.
+PACE = linear.Pace(alpha=60, l1=1e-4, l2=1e-4, rounds=5)
 UNKNOWN = "und"
 PIECE = 1 << 18
 LETTER = regex.compile(r"\p{L}")
@@ -130,7 +132,7 @@ def train(
     sample = rows.where(draw < rate[F.col("lang")]).select("key", known[F.col("lang")].cast("int").alias("label"), "text")
     examples = settle(_examples(sample, idf, bits), "examples")
     aside = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(5)) == 0
-    weights = linear.fit(examples.where(~aside), len(languages), 1 << bits)
+    weights = linear.fit(examples.where(~aside), len(languages), 1 << bits, PACE)
     heat = linear.temperature(examples.where(aside), weights)
     return Model(languages, (weights[:-1] * idf[:, None]).astype(np.float32), weights[-1], heat, bits)
 

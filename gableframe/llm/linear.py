@@ -1,23 +1,32 @@
 """Sparse multinomial logistic regression: follow the regularised leader, then a temperature."""
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ALPHA, BETA = 2.0, 1.0
-L1, L2 = 0.002, 0.0005
-ROUNDS = 3
 SHARDS = 4
 TEMPERATURES = np.geomspace(0.02, 20, 80)
 
 
-def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Pace:
+    """Step size (alpha, beta), the two penalties of the elastic net, and rounds over the examples."""
+
+    alpha: float = 2.0
+    beta: float = 1.0
+    l1: float = 0.002
+    l2: float = 0.0005
+    rounds: int = 3
+
+
+def _weights(z: np.ndarray, n: np.ndarray, pace: Pace) -> np.ndarray:
     """Weights of the regularised leader; the L1 part keeps most of them at zero."""
-    pull = np.sign(z) * np.maximum(np.abs(z) - L1, 0)
-    return -pull / ((BETA + np.sqrt(n)) / ALPHA + L2)
+    pull = np.sign(z) * np.maximum(np.abs(z) - pace.l1, 0)
+    return -pull / ((pace.beta + np.sqrt(n)) / pace.alpha + pace.l2)
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -25,19 +34,19 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _learn(z: np.ndarray, n: np.ndarray, at: np.ndarray, x: np.ndarray, label: int) -> None:
+def _learn(z: np.ndarray, n: np.ndarray, at: np.ndarray, x: np.ndarray, label: int, pace: Pace) -> None:
     """One example; the last feature is the bias of every example."""
     at, x = np.append(at, len(z) - 1), np.append(x, 1.0)
     zs, ns = z[at], n[at]
-    w = _weights(zs, ns)
+    w = _weights(zs, ns, pace)
     error = softmax(x @ w)
     error[label] -= 1
     g = x[:, None] * error
-    z[at] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / ALPHA * w
+    z[at] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / pace.alpha * w
     n[at] = ns + g * g
 
 
-def fit(examples: DataFrame, classes: int, features: int) -> np.ndarray:
+def fit(examples: DataFrame, classes: int, features: int, pace: Pace) -> np.ndarray:
     """Weights (features + 1, classes), the bias last.
 
     examples has key (long), label (int), at (array<int>), x (array<double>). Shards learn from the
@@ -46,7 +55,7 @@ def fit(examples: DataFrame, classes: int, features: int) -> np.ndarray:
     """
     dealt = examples.repartition(SHARDS, "key").sortWithinPartitions("key")
     z, n = np.zeros((2, features + 1, classes))
-    for _ in range(ROUNDS):
+    for _ in range(pace.rounds):
 
         def run(batches: Iterator[pa.RecordBatch], z0: np.ndarray = z, n0: np.ndarray = n) -> Iterator[pa.RecordBatch]:
             z1, n1, seen = z0.copy(), n0.copy(), 0
@@ -54,7 +63,7 @@ def fit(examples: DataFrame, classes: int, features: int) -> np.ndarray:
                 for label, at, x in zip(
                     batch.column("label").to_pylist(), batch.column("at"), batch.column("x"), strict=True
                 ):
-                    _learn(z1, n1, at.values.to_numpy(), x.values.to_numpy(), label)
+                    _learn(z1, n1, at.values.to_numpy(), x.values.to_numpy(), label, pace)
                     seen += 1
             if seen:
                 yield pa.RecordBatch.from_pydict({"seen": [seen], "z": [z1.tobytes()], "n": [n1.tobytes()]})
@@ -66,7 +75,7 @@ def fit(examples: DataFrame, classes: int, features: int) -> np.ndarray:
         z, n = (
             sum(np.frombuffer(s[k]).reshape(z.shape) * (s["seen"] / total) for s in states) for k in ("z", "n")
         )
-    return _weights(z, n)
+    return _weights(z, n, pace)
 
 
 def temperature(examples: DataFrame, weights: np.ndarray) -> float:

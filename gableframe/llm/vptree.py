@@ -136,6 +136,7 @@ def nearest(
         F.col("id").isNotNull() & usable(F.col("v"))
     ).distinct().withColumn("width", F.size("v"))
     clean = settle(clean, "vectors")
+    queries = clean.toDF(*clean.columns)  # columns of its own, as both sides meet below
     square = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
     sizes = clean.groupBy("width").agg(F.max(square).alias("longest"), F.count(F.lit(1)).alias("n"))
     turn = F.row_number().over(W.partitionBy("v").orderBy("id"))
@@ -148,7 +149,7 @@ def nearest(
         .withColumn("shard", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / SHARD)))
     )
     asked = (
-        clean.where(F.col("id") % every == 0)
+        queries.where(F.col("id") % every == 0)
         .join(sizes, "width")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / every / BLOCK)))
     )
