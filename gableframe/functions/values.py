@@ -25,13 +25,27 @@ def trimmed(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Number or null."""
-    return trimmed(c.cast("string")).try_cast("double")
+    """Number or null (F3). A type letter after the digits, as in 100d, makes it no number."""
+    text = trimmed(c.cast("string"))
+    return F.when(~text.rlike(r"[\d.][dDfF]$"), text.try_cast("double"))
+
+
+# Shapes of moments. A text of another shape, such as a time without a day, is none.
+ISO_MOMENT = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?$"
+OTHER_MOMENTS = [
+    (f"{day}{time}", f"^{shape}{clock}$")
+    for day, shape in (("d/M/yyyy", r"\d{1,2}/\d{1,2}/\d{4}"), ("yyyy/M/d", r"\d{4}/\d{1,2}/\d{1,2}"))
+    for time, clock in (("", ""), (" H:m", r" \d{1,2}:\d{1,2}"), (" H:m:s", r" \d{1,2}:\d{1,2}:\d{1,2}"))
+]
 
 
 def to_moment(c: Column) -> Column:
-    """Timestamp or null (F1)."""
-    return trimmed(c.cast("string")).try_cast("timestamp")
+    """Timestamp or null (F1): an ISO day or a slashed one, day or year first, with or without a time."""
+    text = trimmed(c.cast("string"))
+    found = F.when(text.rlike(ISO_MOMENT), text.try_cast("timestamp"))
+    for pattern, shape in OTHER_MOMENTS:
+        found = found.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+    return found
 
 
 def date_parts(c: Column) -> dict[str, Column]:
@@ -80,11 +94,6 @@ def certificate_date(lodged: Column, inspected: Column) -> Column:
     return F.coalesce(parse_date(lodged, *formats), parse_date(inspected, *formats))
 
 
-def days_apart(a: Column, b: Column) -> Column:
-    """Absolute whole days."""
-    return F.abs(F.datediff(a, b))
-
-
 def months_between_sales(start: Column, end: Column) -> Column:
     """Days over the mean month of 30.44 days."""
     return F.datediff(end, start) / F.lit(30.44)

@@ -21,7 +21,8 @@ def hedonic(df: DataFrame, price: str = "Price", terms: Sequence[str] = TERMS) -
 
     Every term is categorical. The result has one row per level but the first ones, with the
     coefficient and the premium in per cent, exp(coefficient) - 1, plus one for the intercept, which is no premium.
-    The fit is distributed; only the coefficients come to the driver.
+    The fit is distributed and exact, by the normal equations: more than 4,096 levels are refused. Only
+    the coefficients come to the driver. Terms that do not vary are left out.
     """
     # Fitting reads the rows once per term, so they are settled as a narrow table first.
     model_rows = df.select(
@@ -29,6 +30,13 @@ def hedonic(df: DataFrame, price: str = "Price", terms: Sequence[str] = TERMS) -
         *[F.col(f"`{t}`").cast("string").alias(_safe(t)) for t in terms],
     ).dropna()
     rows = settle(model_rows, "hedonic")
+    # A term with one level has no effect that could be told from the intercept.
+    varies = rows.agg(*[(F.min(_safe(t)) != F.max(_safe(t))).alias(_safe(t)) for t in terms]).first()
+    terms = [t for t in terms if varies[_safe(t)]]
+    if not terms:
+        alone = rows.select(F.lit("intercept").alias("term"), F.lit("").alias("level"), "log_price")
+        mean = alone.groupBy("term", "level").agg(F.avg("log_price").alias("coefficient"))
+        return mean.withColumn("premium_pct", F.lit(None).cast("double"))
     # In descending order the level left out, the last one, is the first of the alphabet.
     formula = RFormula(
         formula="log_price ~ " + " + ".join(_safe(t) for t in terms),
@@ -36,7 +44,7 @@ def hedonic(df: DataFrame, price: str = "Price", terms: Sequence[str] = TERMS) -
         handleInvalid="error",
     )
     design = formula.fit(rows).transform(rows)
-    model = LinearRegression(featuresCol="features", labelCol="label").fit(design)
+    model = LinearRegression(featuresCol="features", labelCol="label", solver="normal").fit(design)
     groups = design.schema["features"].metadata["ml_attr"]["attrs"].values()
     names = {a["idx"]: a["name"] for group in groups for a in group}
     effects = [("intercept", "", float(model.intercept))]

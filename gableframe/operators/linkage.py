@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gableframe.functions import address as A
 from gableframe.functions import values as V
+from gableframe.scratch import settle
 
 # Hash buckets used to spread rows; their number bounds every histogram over them.
 HASH_DIGITS = 4
@@ -144,14 +145,10 @@ def certificate_side(df: DataFrame) -> DataFrame:
         if c in df.columns
     ]
     stored = [F.col("addr_key")] if "addr_key" in df.columns else []
-    date = [
-        V.parse_date(F.substring(F.col(c).cast("string"), 1, 10), V.ISO_DAY)
-        for c in ("INSPECTION_DATE", "LODGEMENT_DATE")
-    ]
     keys = {
         "epc_postcode_norm": V.postcode_norm(F.col("POSTCODE")),
         "addr_key_std": V.first_of(*stored, V.address_key(lines)),
-        "epc_date": V.first_of(*date),
+        "epc_date": V.certificate_date(F.col("INSPECTION_DATE"), F.col("LODGEMENT_DATE")),
     }
     own = [F.col(c).alias(f"epc_{c.lower()}") for c in df.columns if c != "postcode_norm"]
     return df.select(*own, *[c.alias(n) for n, c in keys.items()])
@@ -164,8 +161,7 @@ def link(
     after: int = 180,
     how: str = "inner",
     date: str = "Date of Transfer",
-    sale_id: str = "Transaction ID",
-    certificate_id: str = "epc_lmk_key",
+    match_empty: bool = False,
 ) -> DataFrame:
     """Sales joined to certificates of the same address and about the same time.
 
@@ -175,7 +171,10 @@ def link(
     That splits a hot address, such as one without parts, by time, and pairs too far apart
     in time are hardly ever formed.
 
-    `how` is inner, left (all sales) or full (all of both sides).
+    An address key without letters and digits says nothing of the address: it matches none, unless
+    `match_empty` asks for it. `how` is inner, left (all sales) or full (all of both sides); for
+    these, rows are numbered and the pairs settled, so that a row that found no partner comes once,
+    whether its id is null or repeated.
     """
     if how not in ("inner", "left", "full"):
         raise ValueError(f"unknown join: {how}")
@@ -185,11 +184,14 @@ def link(
     def window(d: Column) -> Column:
         return F.floor(d / width).cast("int")
 
-    left = sale_side(sales)
-    looking = left.withColumn(
+    left, right = sale_side(sales), certificate_side(certificates)
+    if how != "inner":
+        left = settle(left.withColumn("__sale", F.monotonically_increasing_id()), "sales")
+        right = settle(right.withColumn("__certificate", F.monotonically_increasing_id()), "certificates")
+    known = left if match_empty else left.where(F.col("derived_addr_key") != "")
+    looking = known.withColumn(
         "__w", F.explode(F.sequence(window(day - before), window(day + after)))
     )
-    right = certificate_side(certificates)
     placed = right.withColumn("__w", window(F.unix_date("epc_date"))).withColumnRenamed(
         "epc_postcode_norm", "postcode_norm"
     )
@@ -205,19 +207,20 @@ def link(
     )
     if how == "inner":
         return pairs
-    rest = left.join(pairs.select(sale_id).distinct(), sale_id, "left_anti")
+    pairs = settle(pairs, "pairs")
+    rest = left.join(pairs.select("__sale").distinct(), "__sale", "left_anti")
     out = pairs.unionByName(rest, allowMissingColumns=True)
     if how == "full":
-        lone = right.join(pairs.select(certificate_id).distinct(), certificate_id, "left_anti").drop(
+        lone = right.join(pairs.select("__certificate").distinct(), "__certificate", "left_anti").drop(
             "epc_postcode_norm", "addr_key_std"
         )
         out = out.unionByName(lone, allowMissingColumns=True)
-    return out
+    return out.drop("__sale", "__certificate")
 
 
 def by_sale_month(linked: DataFrame) -> DataFrame:
-    """Linked rows in order of sale year and month."""
-    return linked.orderBy("sale_year", "sale_month")
+    """Linked rows in order of sale year and month (T10), then of sale and certificate."""
+    return linked.orderBy("sale_year", "sale_month", F.col("`Transaction ID`"), "epc_lmk_key")
 
 
 def closest_links(linked: DataFrame, n: int = 20) -> DataFrame:

@@ -74,7 +74,8 @@ def balanced_sample(
     Keys, strata and draws are written to the shared folder once; the cuts come from that narrow
     table, and the rows are read a second time to be filtered.
     """
-    drawn = _hashed(df.withColumn("__s", stratum), key, seed)
+    # In a struct a missing stratum is a value that joins and counts like any other.
+    drawn = _hashed(df.withColumn("__s", F.struct(stratum.alias("value"))), key, seed)
     draws = settle(drawn.select("__s", "__draw", "__p"), "draws")
     cells = settle(draws.groupBy("__s", "__p").agg(F.count(F.lit(1)).alias("__n")), "cells")
     strata = cells.agg(F.count_distinct("__s").alias("k"))

@@ -47,7 +47,7 @@ def label_report(df: DataFrame, true: str = "true", predicted: str = "predicted"
         "support",
     )
     # The customary order of labels: by their name from the second letter on.
-    return scored.orderBy(F.substring("label", 2, 100), F.substring("label", 1, 1))
+    return scored.orderBy(F.expr("substring(label, 2)"), F.substring("label", 1, 1))
 
 
 def weighted_f1(df: DataFrame, true: str = "true", predicted: str = "predicted") -> DataFrame:

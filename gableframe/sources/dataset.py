@@ -1,11 +1,12 @@
 """Access to Hive-partitioned Parquet: scan, filter, count, summarise."""
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gableframe.schema import KNOWN_PARTITIONS
@@ -14,6 +15,11 @@ from gableframe.schema import KNOWN_PARTITIONS
 DATASET_FOLDERS = {"epc_certs": "certificates", "epc_recs": "recommendations", "ppd": ""}
 
 
+def _before_keys(path: str) -> str:
+    """The part of a path before the first wildcard or key=value, below which partitions lie."""
+    return re.split(r"/[^/]*[*?\[{=]", path, maxsplit=1)[0]
+
+
 def open_parquet(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -23,13 +29,16 @@ def open_parquet(
 ) -> DataFrame:
     """One scan over folders, globs or files (S8, U1); missing input raises.
 
-    Partition columns are exposed unless switched off (S9); `file_name` adds the source
-    file of each row (S10).
+    Partition columns are exposed unless switched off (S9), also those that a glob or a path to
+    one partition names; `file_name` adds the source file of each row (S10).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise FileNotFoundError("no path given")
     reader = spark.read.option("mergeSchema", merge_schema)
+    roots = {_before_keys(p) for p in paths}
+    if hive_partitioning and len(roots) == 1 and roots != set(paths):
+        reader = reader.option("basePath", roots.pop())
     if not hive_partitioning:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
     df = reader.parquet(*paths)
@@ -159,13 +168,13 @@ def distinct_values(
     df: DataFrame,
     columns: Sequence[str],
     where: Mapping[str, Any] | None = None,
-    limit: int | None = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Distinct combinations."""
+    """Distinct combinations (A21), with a limit the first in order of the columns."""
     if not columns:
         raise ValueError("columns must not be empty")
     out = _filtered(df, where).select(*[F.col(f"`{c}`") for c in columns]).distinct()
-    return out.limit(limit) if limit else out
+    return out.orderBy(*out.columns).limit(limit) if limit else out
 
 
 def value_counts(
@@ -184,18 +193,17 @@ def value_counts(
 def partition_summary(
     df: DataFrame, columns: Sequence[str] | None = None, n: int = 50
 ) -> DataFrame:
-    """First `n` values of each known partition column as (partition, value)."""
+    """First `n` values of each known partition column as (partition, value).
+
+    One pass finds the combinations that occur, which are no more than there are folders.
+    """
     columns = columns or [c for c in KNOWN_PARTITIONS if c in df.columns]
-    parts = [
-        df.select(F.lit(c).alias("partition"), F.col(c).cast("string").alias("value"))
-        .distinct()
-        .orderBy("value")
-        .limit(n)
-        for c in columns
-    ]
-    if not parts:
+    if not columns:
         raise ValueError("no partition column known")
-    return reduce(DataFrame.unionByName, parts)
+    pairs = F.array(*[F.struct(F.lit(c).alias("partition"), F.col(c).cast("string").alias("value")) for c in columns])
+    found = df.select(*columns).distinct().select(F.inline(pairs)).distinct()
+    turn = F.row_number().over(Window.partitionBy("partition").orderBy("value"))
+    return found.withColumn("__turn", turn).where(F.col("__turn") <= n).drop("__turn")
 
 
 def schema_listing(spark: SparkSession, df: DataFrame) -> DataFrame:

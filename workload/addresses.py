@@ -14,12 +14,16 @@ SALE_KEY = (
     "regexp_replace(upper(coalesce(\"SAON\", '') || ' ' || coalesce(\"PAON\", '') || ' ' || "
     "coalesce(\"Street\", '')), '[^A-Z0-9]', '', 'g')"
 )
+_DATES = ", ".join(
+    f"try_strptime({c}, '{f}')"
+    for c in ('"INSPECTION_DATE"', '"LODGEMENT_DATE"')
+    for f in ("%Y-%m-%d", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S")
+)
 LINK = both(LAKE, CERTS) + f""", p as (select *, {SALE_KEY} as k from lake), e as (
-  select *, coalesce(try_strptime("INSPECTION_DATE"[1:10], '%Y-%m-%d'), try_strptime("LODGEMENT_DATE"[1:10], '%Y-%m-%d'))::date
-    as epc_date from certs), linked as (
+  select *, coalesce({_DATES})::date as epc_date from certs), linked as (
   select p."Transaction ID", e."LMK_KEY" as epc_lmk_key, p."Date of Transfer", e.epc_date,
     abs(date_diff('day', e.epc_date, p."Date of Transfer")) as days_diff, p.sale_year, p.sale_month
-  from p join e on p."Postcode" = e.postcode_norm and p.k = e.addr_key
+  from p join e on p."Postcode" = e.postcode_norm and p.k = e.addr_key and p.k <> ''
   where date_diff('day', e.epc_date, p."Date of Transfer") between -180 and 365)
 """
 LINKED = ["Transaction ID", "epc_lmk_key", "Date of Transfer", "epc_date", "days_diff", "sale_year", "sale_month"]

@@ -283,15 +283,15 @@ on_sales(
 
 
 def centroids(spark, sf_dir):
-    """One centroid per postcode sector with a customer in credit, from the customer table."""
+    """One centroid per postcode sector of a customer."""
     from gableframe.functions.values import postcode_sector, standardise
     from workload.views import POSTCODE
 
     sectors = table(spark, sf_dir, "customer").select(
-        postcode_sector(standardise(F.expr(POSTCODE))).alias("Postcode Sector"), "c_custkey", "c_acctbal"
+        postcode_sector(standardise(F.expr(POSTCODE))).alias("Postcode Sector"), "c_custkey"
     )
     return (
-        sectors.where((F.col("Postcode Sector") != "") & (F.col("c_acctbal") > 0))
+        sectors.where(F.col("Postcode Sector") != "")
         .groupBy("Postcode Sector")
         .agg(
             (F.lit(50.0) + F.min("c_custkey") % 10).alias("lat"),
@@ -304,10 +304,10 @@ def _centroids_sql() -> str:
     from workload.twins import outward, sector, standard
     from workload.views import POSTCODE
 
-    return f""", cpc as (select {standard(POSTCODE)} as p, c_custkey, c_acctbal from customer), cent as (
+    return f""", cpc as (select {standard(POSTCODE)} as p, c_custkey from customer), cent as (
     select trim(concat_ws(' ', {outward('p')}, {sector('p')})) as "Postcode Sector",
       50.0::double + min(c_custkey) % 10 as lat, -3.0::double + min(c_custkey) % 7 as lon
-    from cpc where c_acctbal > 0 group by 1 having "Postcode Sector" <> '')
+    from cpc group by 1 having "Postcode Sector" <> '')
     """
 
 

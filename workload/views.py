@@ -8,7 +8,10 @@ padded text, missing parts, prices and dates that are none.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NUMBER = "cast(c_custkey % 200 + 1 as string)"
+# House numbers, and letters for houses that have a name alone, are made of the whole key: addresses
+# grow with the customers.
+NUMBER = "cast(c_custkey + 1 as string)"
+LETTERS = "translate(cast(c_custkey as string), '0123456789', 'abcdefghij')"
 NAME = "(case c_custkey % 4 when 0 then 'Pond' when 1 then 'Rose' when 2 then 'Mill' else 'Oak' end)"
 # Two letters and one or two digits, a closing letter for one area in six.
 OUT = (
@@ -26,8 +29,8 @@ POSTCODE = (
 )
 PAON = (
     f"case c_custkey % 6 when 0 then {NUMBER} when 1 then 'The ' || {NAME} || ' House, ' || {NUMBER} "
-    f"when 2 then {NUMBER} || 'a' when 3 then {NAME} || ' Cottage' "
-    f"when 4 then {NUMBER} || ' - ' || cast(c_custkey % 200 + 3 as string) else {NAME} || ' lodge' end"
+    f"when 2 then {NUMBER} || 'a' when 3 then {NAME} || ' ' || {LETTERS} || ' Cottage' "
+    f"when 4 then {NUMBER} || ' - ' || cast(c_custkey + 3 as string) else {NAME} || ' ' || {LETTERS} || ' lodge' end"
 )
 SAON = (
     "case when c_custkey % 5 = 3 then (case c_custkey % 3 when 0 then 'Flat ' || cast(c_custkey % 12 + 1 as string) "
@@ -100,16 +103,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan dealt out to all cores when it has fewer splits than there are cores.
-
-    A small table arrives as one split, which one core would have to clean by itself. A table
-    of many splits is left as it is: nothing is shuffled for it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _on_customers(spark: SparkSession, sf_dir: str, fields: dict[str, str]) -> tuple[DataFrame, list]:
     """Customers with the fields that need nothing else, and the select list for all fields.
 
@@ -128,7 +121,7 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders seen as raw price-paid records."""
     customers, fields = _on_customers(spark, sf_dir, RAW_SALES)
     return (
-        spread(table(spark, sf_dir, "orders"))
+        table(spark, sf_dir, "orders")
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -140,7 +133,7 @@ def raw_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items seen as raw energy certificates of the customer's address."""
     customers, fields = _on_customers(spark, sf_dir, RAW_CERTIFICATES)
     return (
-        spread(table(spark, sf_dir, "lineitem"))
+        table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select(*fields)
