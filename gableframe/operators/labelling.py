@@ -4,11 +4,13 @@ Training is two aggregates: label transitions and labels per token word and toke
 reads them as a first-order model and finds the best label sequence and the probability of every
 label, batch by batch in NumPy on the executors.
 
-The shape table and the transitions have a fixed number of entries. The word table grows with the
-vocabulary: while it is small it travels with the task code, beyond WORD_LIMIT it is joined
-to the tokens by a shuffle instead.
+The shape table and the transitions have a bounded number of entries. The word table grows with the
+vocabulary: its most frequent words, a fixed number at most, travel with the tasks, and the counts
+of all others are joined to the distinct word lists that hold them.
 """
 
+import re
+
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Iterator, Tuple
@@ -23,8 +25,8 @@ from gableframe.operators.sampling import uniform
 from gableframe.schema import TAG_LABELS
 from gableframe.scratch import settle
 
-WORD_LIMIT = 200_000
-SALTS = 16
+# Most frequent words that travel with the tasks.
+HEAD_WORDS = 100_000
 # Cells (addresses x longest address) decoded at once.
 CELLS = 200_000
 START = "^"
@@ -37,20 +39,36 @@ def word_of(token: Column) -> Column:
 def shape_of(token: Column, lookups: Lookups = Lookups()) -> Column:
     """What a token looks like, as one short text out of a bounded number of texts."""
     clean = F.upper(token)
-    size = F.least(F.length(clean), F.lit(20))
+    size = F.length(clean)
     sets = {**FLAGS, "directional": DIRECTIONS, "outcode": lookups.outcodes, "posttown": lookups.posttowns}
     flags = [F.when(clean.isin(list(names)), F.lit(n)) for n, names in sets.items() if names]
     digits = (
-        F.when(clean.rlike(r"^\d+$"), "all_digits")
+        F.when(clean.rlike(r"^[0-9]+\z"), "all_digits")
         .when(clean.rlike("[0-9]"), "some_digits")
         .otherwise("no_digits")
     )
     vowels = F.when(clean.rlike("[AEIOU]"), F.lit("vowels"))
     dash = F.when(clean.contains("-"), F.lit("dash"))
-    end = F.when(clean.rlike(r"[.,;)]$"), F.lit("punct"))
+    end = F.when(clean.rlike(r"[.,;)]\z"), F.lit("punct"))
     return F.concat_ws(" ", digits, size.cast("string"), vowels, dash, end, *flags)
 
 
+def shape_text(token: str, lookups: Lookups = Lookups()) -> str:
+    """What shape_of gives, for one token in a Python worker."""
+    clean = token.upper()
+    digits = "all_digits" if re.fullmatch("[0-9]+", clean) else "some_digits" if re.search("[0-9]", clean) else "no_digits"
+    sets = {**FLAGS, "directional": DIRECTIONS, "outcode": lookups.outcodes, "posttown": lookups.posttowns}
+    parts = [
+        digits,
+        str(len(clean)),
+        "vowels" if re.search("[AEIOU]", clean) else "",
+        "dash" if "-" in clean else "",
+        "punct" if clean.endswith((".", ",", ";", ")")) else "",
+        *[n for n, names in sets.items() if clean in names],
+    ]
+    return " ".join(p for p in parts if p)
+
+
 @dataclass(frozen=True)
 class LabelCounts:
     """What training has counted. `words` holds one row per word: word, then a count per label."""
@@ -200,122 +218,115 @@ def _batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 class _Tagger:
-    """Scores and decodes batches in a Python worker; each distinct word is scored once a batch."""
+    """Scores and decodes batches in a Python worker; each distinct token is looked at once a batch."""
 
-    def __init__(self, counts: dict, words: dict[str, np.ndarray] | None, smoothing: Smoothing):
+    def __init__(self, counts: dict, smoothing: Smoothing):
         self.labels = np.array(counts["labels"], dtype=object)
-        self.shapes, self.totals = counts["shapes"], counts["totals"]
-        self.n_words, self.alpha = counts["n_words"], smoothing.tokens
-        moves = counts["transitions"] + smoothing.transitions
+        self.shapes, self.totals, self.words = counts["shapes"], counts["totals"], counts["words"]
+        self.n_words, self.lookups = counts["n_words"], counts["lookups"]
+        self.counted = counts["transitions"]
+        self.smooth(smoothing)
+
+    def smooth(self, smoothing: Smoothing) -> None:
+        self.alpha = smoothing.tokens
+        moves = self.counted + smoothing.transitions
         self.moves = np.log(moves) - np.log(moves.sum(axis=1, keepdims=True))
-        self.words = words
 
-    def scores(self, values: pd.Series, table: dict[str, np.ndarray], kinds: int) -> np.ndarray:
-        """One row of log probabilities per value of the arrays, end to end."""
-        codes, distinct = pd.factorize(np.concatenate(list(values)))
+    def look_up(self, tokens: pd.Series, rare_words: pd.Series, rare_counts: pd.Series) -> None:
+        """Counts of the words and shapes of a batch."""
+        self.sizes = tokens.map(len).to_numpy()
+        rare: dict[str, np.ndarray] = {}
+        for words, counts in zip(rare_words, rare_counts):
+            if words is not None:
+                rare.update(zip(words, counts))
         none = np.zeros(len(self.labels))
-        counts = np.stack([table.get(v, none) for v in distinct])
-        return _log_rows(counts, self.totals, kinds, self.alpha)[codes]
-
-    def decode(self, words: pd.Series, shapes: pd.Series, counted: pd.Series | None):
-        """Per row: labels, their probabilities, and that of the sequence."""
-        sizes = words.map(len).to_numpy()
-        whole = np.zeros(len(words))
-        names = np.empty(int(sizes.sum()), dtype=object)
+        everything = np.concatenate([*tokens, np.empty(0, dtype=object)])
+        self.codes, distinct = pd.factorize(everything)
+        words = [t.upper() for t in distinct]
+        found = [self.words.get(w, rare.get(w, none)) for w in words]
+        shapes = [self.shapes.get(shape_text(t, self.lookups), none) for t in distinct]
+        self.found = np.array(found, dtype=float).reshape(-1, len(none))
+        self.shaped = np.array(shapes, dtype=float).reshape(-1, len(none))
+
+    def decode(self):
+        """Labels and their probabilities end to end, and the probability of each sequence."""
+        whole = np.zeros(len(self.sizes))
+        names = np.empty(len(self.codes), dtype=object)
         margins = np.zeros(len(names))
         if len(names):
-            if counted is None:
-                emit = self.scores(words, self.words, self.n_words)
-            else:
-                seen = np.stack([c for row in counted[sizes > 0] for c in row])
-                emit = _log_rows(seen, self.totals, self.n_words, self.alpha)
-            emit = emit + self.scores(shapes, self.shapes, len(self.shapes))
-            starts = np.cumsum(sizes) - sizes
-            for rows in _batches(sizes):
-                places = np.arange(int(sizes[rows[-1]]))
-                inside = places < sizes[rows][:, None]
+            emit = _log_rows(self.found, self.totals, self.n_words, self.alpha)
+            emit = (emit + _log_rows(self.shaped, self.totals, len(self.shapes), self.alpha))[self.codes]
+            starts = np.cumsum(self.sizes) - self.sizes
+            for rows in _batches(self.sizes):
+                places = np.arange(int(self.sizes[rows[-1]]))
+                inside = places < self.sizes[rows][:, None]
                 at = (starts[rows][:, None] + places)[inside]
                 block = np.zeros((*inside.shape, len(self.labels)))
                 block[inside] = emit[at]
-                path, marginal, whole[rows] = best_path(block, self.moves, sizes[rows])
+                path, marginal, whole[rows] = best_path(block, self.moves, self.sizes[rows])
                 names[at] = self.labels[path[inside]]
                 margins[at] = marginal[inside]
-        cuts = np.cumsum(sizes)[:-1]
-        return pd.DataFrame(
-            {"labels": np.split(names, cuts), "marginals": np.split(margins, cuts), "whole": whole}
-        )
-
+        return names, margins, whole
 
-def _plain(counts: LabelCounts) -> dict:
-    return {
-        "labels": counts.labels,
-        "shapes": counts.shapes,
-        "transitions": counts.transitions,
-        "totals": counts.label_totals,
-        "n_words": counts.n_words,
-    }
-
-
-def _word_table(counts: LabelCounts) -> dict[str, np.ndarray]:
-    return {
-        r["word"]: np.array([r[n] for n in counts.labels], dtype=float)
-        for r in counts.words.toLocalIterator()
-    }
 
+def _with_rare(df: DataFrame, tokens: str, counts: LabelCounts, head_words: int) -> tuple[DataFrame, dict]:
+    """Adds __tokens, __rare_words and __rare_counts; the rest of the model, bounded, as a plain dict.
 
-def _joined_counts(df: DataFrame, key: str, counts: LabelCounts) -> DataFrame:
-    """Adds __counted: the counts per label of every token, by a salted join on the word."""
-    k = len(counts.labels)
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
-    per_word = F.array(*[F.col(n).cast("double") for n in counts.labels]).alias("__c")
-    table = counts.words.select("word", per_word, salt)
-    placed = df.select(
-        F.col(f"`{key}`").alias("__key"), F.posexplode("__tokens").alias("__at", "__t")
-    ).select(
-        "__key", "__at", word_of(F.col("__t")).alias("word"), F.pmod(F.xxhash64("__key", "__at"), F.lit(SALTS)).cast("int").alias("__salt")
-    )
-    none = F.array_repeat(F.lit(0.0), k)
-    found = placed.join(table, ["word", "__salt"], "left").groupBy("__key").agg(
-        F.array_sort(F.collect_list(F.struct("__at", F.coalesce("__c", none).alias("__c")))).alias("__l")
+    Rare words are joined to the distinct lists of words, so that neither a row's key nor the number
+    of its copies plays a part, and a word of many lists is one small row for each.
+    """
+    total = sum((F.col(n) for n in counts.labels), F.lit(0))
+    per_word = F.array(*[F.col(n).cast("double") for n in counts.labels]).alias("c")
+    ranked = counts.words.select("word", total.alias("total"), per_word)
+    head = ranked.orderBy(F.desc("total"), "word").limit(head_words).toArrow() if head_words else None
+    words = dict(zip(head["word"].to_pylist(), head["c"].to_pylist(), strict=True)) if head else {}
+    rare = ranked
+    if words:
+        # The last word of the head tells on which side of the cut each word is.
+        least, last = head["total"][-1].as_py(), head["word"][-1].as_py()
+        rare = ranked.where((F.col("total") < least) | ((F.col("total") == least) & (F.col("word") > last)))
+    given = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    listed = df.withColumn("__tokens", given).withColumn("__words", F.array_distinct(F.transform("__tokens", word_of)))
+    found = (
+        listed.select("__words")
+        .distinct()
+        .select("__words", F.explode("__words").alias("word"))
+        .join(rare.select("word", "c"), "word")
+        .groupBy("__words")
+        .agg(F.collect_list(F.struct("word", "c")).alias("l"))
+        .select("__words", F.col("l")["word"].alias("__rare_words"), F.col("l")["c"].alias("__rare_counts"))
     )
-    lists = found.select(F.col("__key").alias(key), F.transform("__l", lambda x: x["__c"]).alias("__counted"))
-    return df.join(lists, key, "left")
+    plain = {
+        "labels": counts.labels, "shapes": counts.shapes, "transitions": counts.transitions,
+        "totals": counts.label_totals, "n_words": counts.n_words, "words": words,
+    }
+    return listed.join(settle(found, "rare-words"), "__words", "left").drop("__words"), plain
 
 
 def tag_tokens(
     df: DataFrame,
     tokens: str,
     counts: LabelCounts,
-    key: str,
     smoothing: Smoothing = Smoothing(),
     lookups: Lookups = Lookups(),
     out: str = "tagged",
-    word_limit: int = WORD_LIMIT,
+    head_words: int = HEAD_WORDS,
 ) -> DataFrame:
     """Adds the best label of each token with its probability, and that of the sequence.
 
-    `key` identifies rows; it is only used when the word table has to be joined.
+    Rows are tagged by their tokens alone. Rows without tokens get no pairs and probability zero.
     """
-    shaped = df.withColumn("__tokens", F.coalesce(F.col(tokens), F.array().cast("array<string>"))).withColumns(
-        {
-            "__words": F.transform("__tokens", word_of),
-            "__shapes": F.transform("__tokens", lambda t: shape_of(t, lookups)),
-        }
-    )
-    joined = counts.n_words > word_limit
-    inputs = ["__words", "__shapes"]
-    if joined:
-        shaped = _joined_counts(shaped, key, counts)
-        inputs.append("__counted")
-    words = None if joined else _word_table(counts)
-    model = df.sparkSession.sparkContext.broadcast((_plain(counts), words))
+    joined, plain = _with_rare(df, tokens, counts, head_words)
+    model = df.sparkSession.sparkContext.broadcast(plain | {"lookups": lookups})
 
     @F.pandas_udf("labels array<string>, marginals array<double>, whole double")
     def decode(batches: Iterator[Tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        plain, table = model.value
-        tagger = _Tagger(plain, table, smoothing)
-        for seen, shapes, *counted in batches:
-            yield tagger.decode(seen, shapes, counted[0] if counted else None)
+        tagger = _Tagger(model.value, smoothing)
+        for batch in batches:
+            tagger.look_up(*batch)
+            names, margins, whole = tagger.decode()
+            cuts = np.cumsum(tagger.sizes)[:-1]
+            yield pd.DataFrame({"labels": np.split(names, cuts), "marginals": np.split(margins, cuts), "whole": whole})
 
     found = F.col("__found")
     pairs = F.transform(
@@ -324,10 +335,11 @@ def tag_tokens(
             x["__tokens"].alias("token"), x["labels"].alias("label"), x["marginals"].alias("marginal")
         ),
     )
+    inputs = ["__tokens", "__rare_words", "__rare_counts"]
     return (
-        shaped.withColumn("__found", decode(*[F.col(c) for c in inputs]))
+        joined.withColumn("__found", decode(*[F.col(c) for c in inputs]))
         .withColumn(out, F.struct(pairs.alias("pairs"), found["whole"].alias("sequence_probability")))
-        .drop("__found", "__tokens", *inputs)
+        .drop("__found", *inputs)
     )
 
 
@@ -375,7 +387,6 @@ def tag_text(
     df: DataFrame,
     text: str,
     counts: LabelCounts,
-    key: str,
     lookups: Lookups = Lookups(),
     tokenizer=None,
     **options,
@@ -383,7 +394,7 @@ def tag_text(
     """Tags free text; `tokenizer` maps the text column to an array of tokens (C17)."""
     make = tokenizer or (lambda c: tokenize(c, lookups))
     with_tokens = df.withColumn("__raw_tokens", make(F.col(text)))
-    return tag_tokens(with_tokens, "__raw_tokens", counts, key, lookups=lookups, **options).drop("__raw_tokens")
+    return tag_tokens(with_tokens, "__raw_tokens", counts, lookups=lookups, **options).drop("__raw_tokens")
 
 
 def true_and_predicted(tagged: DataFrame, labelled: str = "labelled", out: str = "tagged") -> DataFrame:
@@ -415,34 +426,78 @@ def tune_smoothing(
     column: str = "labelled",
     labels: Sequence[str] = TAG_LABELS,
     lookups: Lookups = Lookups(),
+    objective: str = "sequence_accuracy",
+    head_words: int = HEAD_WORDS,
 ) -> DataFrame:
-    """Cross-validated share of fully right sequences per candidate, best first.
+    """Cross-validated scores of all candidates, best by the objective first.
 
-    Counts do not depend on smoothing: one fit per fold serves all candidates.
+    The objectives are sequence_accuracy, the share of fully right sequences, and weighted_f1. Counts
+    do not depend on smoothing: there is one fit per fold and one pass over the rows held out, in
+    which a batch is looked up once and decoded for each candidate.
     """
     fold = F.floor(uniform(F.col(f"`{key}`"), seed, "fold") * folds).cast("int")
     given = F.transform(column, lambda p: p["token"]).alias("__given")
-    rows = settle(labelled.select(F.col(f"`{key}`"), column, given, fold.alias("__fold")), "folds")
-    scored = None
+    rows = settle(labelled.select(column, given, fold.alias("__fold")), "folds")
+    names = tuple(labels)
+
+    def scores_of(counts: LabelCounts, held: DataFrame) -> DataFrame:
+        joined, plain = _with_rare(held, "__given", counts, head_words)
+        model = held.sparkSession.sparkContext.broadcast(plain | {"lookups": lookups})
+        true = F.transform(column, lambda p: p["label"]).alias("true")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tagger = _Tagger(model.value, candidates[0])
+            number = {n: i for i, n in enumerate(names)}
+            for batch in batches:
+                tagger.look_up(batch["__tokens"], batch["__rare_words"], batch["__rare_counts"])
+                asked = np.array([number[n] for row in batch["true"] for n in row], dtype=int)
+                owner = np.repeat(np.arange(len(batch)), tagger.sizes)
+                for i, smoothing in enumerate(candidates):
+                    tagger.smooth(smoothing)
+                    said = np.array([number[n] for n in tagger.decode()[0]], dtype=int)
+                    wrong = len(np.unique(owner[said != asked]))
+                    yield pd.DataFrame(
+                        {
+                            "candidate": i,
+                            "label": [*names, ""],
+                            "hits": [*np.bincount(asked[said == asked], minlength=len(names)), len(batch) - wrong],
+                            "claimed": [*np.bincount(said, minlength=len(names)), 0],
+                            "support": [*np.bincount(asked, minlength=len(names)), len(batch)],
+                        }
+                    )
+
+        cells = joined.select("__tokens", "__rare_words", "__rare_counts", true).mapInPandas(
+            run, "candidate long, label string, hits long, claimed long, support long"
+        )
+        return cells.groupBy("candidate", "label").agg(*[F.sum(c).alias(c) for c in ("hits", "claimed", "support")])
+
+    per_fold = None
     for k in range(folds):
-        counts = fit_labels(rows.where(F.col("__fold") != k), column, labels, lookups)
-        held = rows.where(F.col("__fold") == k)
-        for i, s in enumerate(candidates):
-            part = true_and_predicted(
-                tag_tokens(held, "__given", counts, key, s, lookups), column
-            ).select(
-                F.lit(i).alias("candidate"),
-                F.lit(s.tokens).alias("tokens"),
-                F.lit(s.transitions).alias("transitions"),
-                F.lit(k).alias("fold"),
-                (F.col("true") == F.col("predicted")).cast("double").alias("right"),
-            )
-            scored = part if scored is None else scored.unionByName(part)
-    per_fold = scored.groupBy("candidate", "tokens", "transitions", "fold").agg(
-        F.avg("right").alias("score")
-    )
-    return (
-        per_fold.groupBy("candidate", "tokens", "transitions")
-        .agg(F.avg("score").alias("sequence_accuracy"))
-        .orderBy(F.desc("sequence_accuracy"), "candidate")
+        counts = fit_labels(rows.where(F.col("__fold") != k), column, names, lookups)
+        part = scores_of(counts, rows.where(F.col("__fold") == k)).withColumn("fold", F.lit(k))
+        per_fold = part if per_fold is None else per_fold.unionByName(part)
+    whole = F.col("label") == ""
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("hits"), F.col("claimed") + F.col("support")), F.lit(0.0))
+    support = F.when(~whole, F.col("support"))
+    folded = per_fold.groupBy("candidate", "fold").agg(
+        F.sum(F.when(whole, F.col("hits") / F.col("support"))).alias("sequence_accuracy"),
+        (F.sum(f1 * support) / F.sum(support)).alias("weighted_f1"),
     )
+    given_as = F.array(*[F.struct(F.lit(s.tokens).alias("tokens"), F.lit(s.transitions).alias("transitions")) for s in candidates])
+    means = folded.groupBy("candidate").agg(*[F.avg(c).alias(c) for c in ("sequence_accuracy", "weighted_f1")])
+    parameters = F.element_at(given_as, F.col("candidate").cast("int") + 1)
+    return means.select("candidate", parameters.alias("p"), "sequence_accuracy", "weighted_f1").select(
+        "candidate", "p.*", "sequence_accuracy", "weighted_f1"
+    ).orderBy(F.desc(objective), "candidate")
+
+
+def refit_best(
+    labelled: DataFrame,
+    tuned: DataFrame,
+    column: str = "labelled",
+    labels: Sequence[str] = TAG_LABELS,
+    lookups: Lookups = Lookups(),
+) -> tuple[LabelCounts, Smoothing]:
+    """The best candidate of a search, with counts of all rows."""
+    best = tuned.first()
+    return fit_labels(labelled, column, labels, lookups), Smoothing(best["tokens"], best["transitions"])

@@ -210,3 +210,36 @@ def test_hedonic_equals_least_squares(spark):
     assert set(got) == set(names)
     for name, w in zip(names, want):
         assert got[name] == pytest.approx(w, abs=1e-5)
+
+
+def test_moments_by_shape(spark):
+    from gableframe.functions.values import to_moment, to_number
+
+    want = {
+        "2024-02-29 00:00": "2024-02-29 00:00:00", "29/02/2024": "2024-02-29 00:00:00", "01/03/2024 10:30": "2024-03-01 10:30:00",
+        "2024/2/9": "2024-02-09 00:00:00", "2024-1-2 10:30": "2024-01-02 10:30:00", "12:30": None, "garbage": None, "30/02/2024": None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    got = {r.t: r.m for r in df.select("t", F.date_format(to_moment(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("m")).collect()}
+    assert got == want
+    numbers = spark.createDataFrame([("100d",), (" 7.5 ",), ("1e3",), ("x",), ("5f",)], "t string")
+    assert [r.n for r in numbers.select(to_number(F.col("t")).alias("n")).collect()] == [None, 7.5, 1000.0, None, None]
+
+
+def test_hedonic_leaves_out_a_term_of_one_level(spark):
+    from gableframe.operators.hedonic import hedonic
+
+    rows = [(100.0 * (1 + i % 2), "D", "A" if i % 2 else "B") for i in range(20)]
+    df = spark.createDataFrame(rows, ["Price", "Property Type", "Duration"])
+    both, one = hedonic(df, terms=("Property Type", "Duration")), hedonic(df, terms=("Duration",))
+    assert both.collect() == one.collect()
+    assert [r.term for r in hedonic(df, terms=("Property Type",)).collect()] == ["intercept"]
+
+
+def test_balanced_sample_with_null_strata(spark):
+    from gableframe.operators.sampling import balanced_sample
+
+    rows = [(i, None if i % 3 == 0 else "ab"[i % 2]) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = balanced_sample(df, 300, "id", F.col("s")).groupBy("s").count().collect()
+    assert {r.s: r["count"] for r in got} == {None: 100, "a": 100, "b": 100}

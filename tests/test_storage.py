@@ -133,3 +133,31 @@ def test_certificate_fields(spark):
 def test_year_bounds_fail_without_dates(spark):
     with pytest.raises(Exception, match="no date"):
         year_bounds(enrich_certificates(certificate(spark, LMK_KEY="1"))).collect()
+
+
+def test_globs_keep_partition_columns(spark, tmp_path):
+    from gableframe.sources import dataset as D
+
+    df = spark.createDataFrame([(i, i % 2, f"v{i % 3}") for i in range(12)], "x long, a int, b string")
+    df.write.partitionBy("a", "b").parquet(f"{tmp_path}/t")
+    for path in (f"{tmp_path}/t/a=*/b=*/*.parquet", f"{tmp_path}/t/*/*", f"{tmp_path}/t/a=1", f"{tmp_path}/t"):
+        got = D.open_parquet(spark, path)
+        assert set(got.columns) == {"x", "a", "b"} and got.where("a = 1").count() == 6
+    assert [tuple(r) for r in D.distinct_values(df, ["a", "b"], limit=2).collect()] == [(0, "v0"), (0, "v1")]
+
+
+def test_links_need_an_address_and_keep_rows_without_an_id(spark):
+    from gableframe.operators.linkage import link
+
+    sales = spark.createDataFrame(
+        [(None, "GL1 1AA", None, "1", "HIGH ST", "2024-01-10"), (None, "GL1 1AA", None, None, None, "2024-01-10"), ("c", "GL9 9AA", None, "5", "X", "2024-01-10")],
+        "`Transaction ID` string, Postcode string, SAON string, PAON string, Street string, d string",
+    ).withColumn("Date of Transfer", F.to_date("d"))
+    certificates = spark.createDataFrame(
+        [("k", "GL1 1AA", "1", "HIGH ST", None, "2024-1-2 10:30", None), ("l", "GL1 1AA", None, None, None, "2024-01-02", None)],
+        "LMK_KEY string, POSTCODE string, ADDRESS1 string, ADDRESS2 string, ADDRESS3 string, INSPECTION_DATE string, LODGEMENT_DATE string",
+    )
+    counts = {how: link(sales, certificates, how=how).count() for how in ("inner", "left", "full")}
+    assert counts == {"inner": 1, "left": 3, "full": 4}
+    assert link(sales, certificates, match_empty=True).count() == 2
+    assert link(sales, certificates).first().days_diff == 8

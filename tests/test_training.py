@@ -209,7 +209,7 @@ def test_counts(counts, addresses):
 
 def test_tagging(spark, counts):
     df = spark.createDataFrame([("a", "FLAT 3 ROSE HALL HIGH STREET TOWN GL1 1AA"), ("b", ""), ("c", None), ("d", "ZZZ")], "id string, t string")
-    got = {r.id: r.tagged for r in L.tag_text(df, "t", counts, "id").collect()}
+    got = {r.id: r.tagged for r in L.tag_text(df, "t", counts).collect()}
     assert [p.label for p in got["a"].pairs] == ["SubBuildingName"] * 2 + ["BuildingName"] * 2 + ["StreetName"] * 2 + ["TownName"] + ["Postcode"] * 2
     assert got["b"].pairs == [] and got["c"].pairs == [] and got["b"].sequence_probability == 0.0
     assert len(got["d"].pairs) == 1
@@ -218,13 +218,31 @@ def test_tagging(spark, counts):
 
 def test_joined_words_give_the_same_tags(spark, counts, addresses):
     df = X.render_labelled(addresses, "id", 1).select("id", F.transform("labelled", lambda p: p["token"]).alias("g"))
-    a = {r.id: r.tagged for r in L.tag_tokens(df, "g", counts, "id").collect()}
-    b = {r.id: r.tagged for r in L.tag_tokens(df, "g", counts, "id", word_limit=0).collect()}
+    a = {r.id: r.tagged for r in L.tag_tokens(df, "g", counts).collect()}
+    b = {r.id: r.tagged for r in L.tag_tokens(df, "g", counts, head_words=0).collect()}
+    c = {r.id: r.tagged for r in L.tag_tokens(df, "g", counts, head_words=3).collect()}
+    assert b == c
     for k, x in a.items():
         assert [p.label for p in x.pairs] == [p.label for p in b[k].pairs]
         assert [p.marginal for p in x.pairs] == pytest.approx([p.marginal for p in b[k].pairs])
 
 
+def test_rows_with_null_or_repeated_keys_are_tagged_alike(spark, counts):
+    line = "FLAT 3 ROSE HALL HIGH STREET TOWN GL1 1AA"
+    df = spark.createDataFrame([("a", line), ("a", line), (None, line), ("a", "HIGH STREET")], "id string, t string")
+    for head in (0, 5, 1000):
+        got = [(r.id, [p.label for p in r.tagged.pairs]) for r in L.tag_text(df, "t", counts, head_words=head).collect()]
+        assert sorted(len(g[1]) for g in got) == [2, 9, 9, 9]
+        assert len({tuple(g[1]) for g in got if len(g[1]) == 9}) == 1
+
+
+def test_shape_in_workers_is_that_of_the_columns(spark):
+    tokens = ["12", "12A", "rose", "St.", "FLAT", "12-14", "é1)", "ß", "x" * 30, "GL1", "north", ",", "TOWN", "1\n", "٣"]
+    own = L.Lookups(outcodes=("GL1",), posttowns=("TOWN",))
+    df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", L.shape_of(F.col("t"), own).alias("s"))
+    assert {r.t: r.s for r in df.collect()} == {t: L.shape_text(t, own) for t in tokens}
+
+
 def test_components(spark):
     df = spark.createDataFrame([([("FLAT", "S"), ("3,", "S"), ("HIGH", "R"), ("ST;", "R")],), ([],)], "p array<struct<token:string,label:string>>")
     got = [r.y for r in df.select(L.components(F.col("p")).alias("y")).collect()]
@@ -246,4 +264,10 @@ def test_tuning_prefers_sensible_smoothing(addresses):
     labelled = X.render_labelled(addresses, "id", 1)
     got = L.tune_smoothing(labelled, "id", [L.Smoothing(0.1, 0.1), L.Smoothing(1e6, 1e6)], 2, labels=RENDER_LABELS).collect()
     assert got[0].candidate == 0 and got[0].sequence_accuracy >= got[1].sequence_accuracy
+    by_f1 = L.tune_smoothing(
+        labelled, "id", [L.Smoothing(1e6, 1e6), L.Smoothing(0.1, 0.1)], 2, labels=RENDER_LABELS, objective="weighted_f1"
+    )
+    assert by_f1.first().candidate == 1 and by_f1.first().weighted_f1 == pytest.approx(got[0].weighted_f1)
+    refitted, smoothing = L.refit_best(labelled, by_f1, labels=RENDER_LABELS)
+    assert smoothing == L.Smoothing(0.1, 0.1) and refitted.label_totals.sum() > 0
     assert len(L.draw_smoothing(4)) == 4 and L.draw_smoothing(4) == L.draw_smoothing(4)

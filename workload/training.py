@@ -457,21 +457,21 @@ def fitted(spark, sf_dir):
 
 def holdout(spark, sf_dir, **options):
     counts, test = fitted(spark, sf_dir)
-    return L.tag_tokens(test, "given", counts, "id", **options)
+    return L.tag_tokens(test, "given", counts, **options)
 
 
 register("holdout_report", lambda s, d: R.label_report(L.true_and_predicted(holdout(s, d))))
 register("holdout_sequence_accuracy", lambda s, d: R.sequence_accuracy(L.true_and_predicted(holdout(s, d))))
 register(
     "holdout_weighted_f1_joined_words",
-    lambda s, d: R.weighted_f1(L.true_and_predicted(holdout(s, d, word_limit=0))),
+    lambda s, d: R.weighted_f1(L.true_and_predicted(holdout(s, d, head_words=0))),
 )
 
 
 def tagged_lines(spark, sf_dir):
     """Certificate addresses tagged by the model of the sale addresses."""
     counts, _ = fitted(spark, sf_dir)
-    return L.tag_text(address_lines(spark, sf_dir), "line", counts, "LMK_KEY", PLAIN)
+    return L.tag_text(address_lines(spark, sf_dir), "line", counts, PLAIN)
 
 
 register("parse_addresses", lambda s, d: tagged_lines(s, d).select("LMK_KEY", F.to_json(L.parse(F.col("tagged"))).alias("pairs")))
@@ -496,7 +496,7 @@ register(
 )
 register(
     "tune_smoothing",
-    lambda s, d: L.tune_smoothing(labelled(s, d), "id", L.draw_smoothing(2, SEED), 3, SEED, labels=RENDER_LABELS),
+    lambda s, d: L.tune_smoothing(labelled(s, d), "id", L.draw_smoothing(50, SEED), 3, SEED, labels=RENDER_LABELS),
 )
 on_sales("hedonic", hedonic)
 # With one term the effects are differences of means, which SQL can state.
