@@ -12,14 +12,15 @@ from gableframe.schema import (
     CANONICAL_OF,
     MIN_HEADER_HITS,
     declared_schema,
-    text_schema,
 )
+from gableframe.scratch import settle
 
 # File names taken for delimited text.
 TEXT_FILES = ("*.csv", "*.txt", "*.csv.gz", "*.txt.gz")
 
-# A lookup is configuration. One that has more rows than this is refused, not cut.
-MAX_LOOKUP_ROWS = 200_000
+# Columns of a line that are looked at; price-paid files have sixteen.
+MOST_COLUMNS = 40
+CELL_END = "\x1f"
 
 
 def normalise_headers(columns: Sequence[str]) -> list[str] | None:
@@ -30,17 +31,41 @@ def normalise_headers(columns: Sequence[str]) -> list[str] | None:
     return [m or c for m, c in zip(mapped, columns)]
 
 
+def _canonical_place(cells: Sequence[str]) -> dict[str, int]:
+    """Where a header line has each canonical column; the first of several counts."""
+    place: dict[str, int] = {}
+    for i, name in enumerate(normalise_headers(cells) or []):
+        place.setdefault(name, i)
+    return place
+
+
 def read_sales_csv(spark: SparkSession, path: str | list[str], delimiter: str = ",") -> DataFrame:
-    """Price-paid CSV with or without a header, as sixteen text columns.
+    """Price-paid CSV as the sixteen columns, price and date parsed.
 
-    Only the header line is looked at on the driver. Without a header the columns are
-    taken by position; lines that are too short are padded with nulls, longer ones cut.
+    Each file has a header of its own, in any order and spelling, or none. Lines that are headers by
+    what they hold are taken out wherever they stand; the rows of a file with one are matched by name,
+    those of others by position, short lines padded with nulls and long ones cut. Only the distinct
+    header lines come to the driver.
     """
-    named = spark.read.csv(path, header=True, inferSchema=False, sep=delimiter, quote='"')
-    headers = normalise_headers(named.columns)
-    if headers is not None:
-        return coerce_schema(named.toDF(*headers))
-    return spark.read.schema(text_schema()).csv(path, header=False, sep=delimiter, quote='"')
+    names = [f"_c{i}" for i in range(MOST_COLUMNS)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    read = spark.read.schema(schema).csv(path, header=False, sep=delimiter, quote='"')
+    raw = read.select(*names, F.col("_metadata.file_path").alias("__file"))
+    known = list(CANONICAL_OF)
+    cells = F.transform(F.array(*names), lambda c: F.lower(F.trim(c)))
+    heading = F.size(F.array_intersect(cells, F.array(*map(F.lit, known)))) >= MIN_HEADER_HITS
+    line = F.array_join(F.array(*names), CELL_END, "").alias("line")
+    heads = settle(raw.where(heading).select("__file", line).groupBy("__file").agg(F.min("line").alias("__head")), "headers")
+    layouts = {r[0]: _canonical_place(r[0].split(CELL_END)) for r in heads.select("__head").distinct().toLocalIterator()}
+    rows = raw.where(~heading).join(heads, "__file", "left")
+    out = []
+    for i, name in enumerate(CANONICAL):
+        value = F.when(F.col("__head").isNull(), F.col(names[i]))
+        for text, place in layouts.items():
+            if name in place:
+                value = value.when(F.col("__head") == text, F.col(names[place[name]]))
+        out.append(value.alias(name))
+    return coerce_schema(rows.select(*out))
 
 
 def read_declared_csv(spark: SparkSession, path: str | list[str], delimiter: str = ",") -> DataFrame:
@@ -122,11 +147,3 @@ def read_lookup(spark: SparkSession, path: str, columns: Sequence[str]) -> DataF
     return clean.dropna(subset=list(columns)).select(
         *[trimmed(F.col(f"`{c}`")).alias(c) for c in columns]
     )
-
-
-def lookup_rows(lookup: DataFrame, limit: int = MAX_LOOKUP_ROWS) -> list[tuple]:
-    """Rows of a lookup for use in expressions; refuses one that is not small."""
-    rows = lookup.take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"lookup has more than {limit} rows")
-    return [tuple(r) for r in rows]

@@ -146,16 +146,22 @@ def convert_csv_tree(
     mode: str = "overwrite",
     at_once: int = 8,
 ) -> DataFrame:
-    """Parquet per input file; a file that fails is reported and skipped (K1).
+    """Parquet per input file, in the folders of the input; a file that fails is reported and skipped (K1).
 
     Files have schemas of their own, so each is a job. Jobs run side by side and each splits
     its file over the executors. Returns (path, output, error).
     """
     paths = [r.path for r in list_files(spark, source, patterns).toLocalIterator()]
+    inside = [p.rpartition(f"{PurePosixPath(source)}/")[2] for p in paths]
+    stems = [name.rsplit(".", 1)[0] for name in inside]
+    # Files that differ by their ending alone keep it.
+    outputs = {
+        p: f"{target}/{name if stems.count(stem) > 1 else stem}.parquet"
+        for p, name, stem in zip(paths, inside, stems, strict=True)
+    }
 
     def convert(path: str) -> tuple[str, str, str | None]:
-        name = PurePosixPath(path).name
-        out = f"{target}/{name.rsplit('.', 1)[0]}.parquet"
+        out = outputs[path]
         try:
             read_delimited(spark, path, all_text).write.mode(mode).option(
                 "compression", _codec(compression)

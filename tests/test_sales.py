@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gableframe.functions import values as V
+from gableframe.schema import text_schema
 from gableframe.operators import market as M
 from gableframe.operators import quality as Q
 from gableframe.operators import series as S
@@ -17,7 +18,7 @@ from gableframe.sources import csv as C
 
 def raw(spark, rows):
     full = [tuple(r.get(c) for c in CANONICAL) for r in rows]
-    return spark.createDataFrame(full, C.text_schema())
+    return spark.createDataFrame(full, text_schema())
 
 
 def sale(i, price, date, **more):

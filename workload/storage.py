@@ -49,6 +49,31 @@ register("load_csv_with_header", csv_round_trip(True), _CSV_BACK)
 register("load_csv_without_header", csv_round_trip(False), _CSV_BACK)
 
 
+def load_mixed_folders(spark, sf_dir):
+    """Files without a header beside files with one, whose columns stand in another order."""
+    path = shared_folder(spark, "sales-mixed")
+    raw = raw_sales(spark, sf_dir)
+    odd = F.col("`Transaction ID`").cast("bigint") % 2 == 1
+    raw.where(odd).select(*[F.col(f"`{c}`") for c in reversed(raw.columns)]).write.csv(f"{path}/named", header=True)
+    raw.where(~odd).write.csv(f"{path}/bare")
+    return clean_sales(C.read_sales_csv(spark, [f"{path}/bare", f"{path}/named"])).select(
+        "Transaction ID", "Price", "Date of Transfer", "Outward", "ADDRESS_ID", "Duration"
+    )
+
+
+register("load_csv_mixed_folders", load_mixed_folders, _CSV_BACK)
+
+
+def written_csv(spark, sf_dir):
+    """CSV with a header, written and read back."""
+    path = shared_folder(spark, "plain-csv")
+    L.write_csv(table(spark, sf_dir, "part"), path)
+    return C.read_delimited(spark, path, all_text=True).select("p_partkey", "p_name")
+
+
+register("write_csv", written_csv, "select p_partkey::varchar as p_partkey, p_name from part")
+
+
 def load_alias_headers(spark, sf_dir):
     """CSV under other header names and with fewer columns."""
     path = shared_folder(spark, "sales-alias")
@@ -448,6 +473,16 @@ register(
 )
 
 
+def opened_by_glob(spark, sf_dir):
+    """A lake opened by a pattern over its files, with the keys of the folders."""
+    path = shared_folder(spark, "globbed")
+    L.write_lake(lake(spark, sf_dir).select("Transaction ID", "sale_year", "outcode2"), path, "outcode2_year")
+    return D.open_parquet(spark, f"{path}/outcode2=*/sale_year=*/*.parquet").select("Transaction ID", "outcode2")
+
+
+register("dataset_by_glob", opened_by_glob, LAKE + """select "Transaction ID", outcode2 from lake""")
+
+
 def partition_filter(spark, sf_dir):
     """Filter on partition keys of a written lake, so that other folders are not read."""
     path = shared_folder(spark, "pruned")
