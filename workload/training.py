@@ -13,6 +13,7 @@ from gableframe.plans.cohort import has_signal, without_copies
 from gableframe.scratch import shared_folder
 from gableframe.schema import RENDER_LABELS
 from workload.addresses import COHORT, cohort
+from workload.decoding import counted, decoded
 from workload.registry import certificates, lake, on_sales, register
 from workload.twins import CERTS, LAKE
 from workload.views import table
@@ -460,11 +461,30 @@ def holdout(spark, sf_dir, **options):
     return L.tag_tokens(test, "given", counts, **options)
 
 
-register("holdout_report", lambda s, d: R.label_report(L.true_and_predicted(holdout(s, d))))
-register("holdout_sequence_accuracy", lambda s, d: R.sequence_accuracy(L.true_and_predicted(holdout(s, d))))
+MODEL = RENDERED.rstrip() + counted(f"select id, labelled, {drawn('id', 'split')} < 0.2 as test from rendered")
+HELD_OUT = MODEL + decoded(
+    "select id as key, list_transform(labelled, lambda p: p.token) as tokens from tg_split where test and len(labelled) > 0"
+)
+TRUE_AND_FOUND = HELD_OUT + """, both_ways as (select list_transform(labelled, lambda p: p.label) as t, labels as p
+    from tagged join tg_split on id = key)"""
+TOKEN_PAIRS = TRUE_AND_FOUND + ", f as (select unnest(t) as t, unnest(p) as p from both_ways)"
+register(
+    "holdout_report",
+    lambda s, d: R.label_report(L.true_and_predicted(holdout(s, d))),
+    REPORT.replace(SEQUENCES, TOKEN_PAIRS)
+    + "select label, round(pr, 6) as precision, round(re, 6) as recall, round(f1, 6) as f1, support from s",
+)
+register(
+    "holdout_sequence_accuracy",
+    lambda s, d: R.sequence_accuracy(L.true_and_predicted(holdout(s, d))),
+    TRUE_AND_FOUND
+    + """select round(avg(case when t = p then 1.0 else 0.0 end), 6) as sequence_accuracy, count(*) as sequences from both_ways""",
+)
 register(
     "holdout_weighted_f1_joined_words",
     lambda s, d: R.weighted_f1(L.true_and_predicted(holdout(s, d, head_words=0))),
+    REPORT.replace(SEQUENCES, TOKEN_PAIRS)
+    + "select round(sum(f1 * support) / sum(support), 6) as weighted_f1, sum(support)::bigint as tokens from s",
 )
 
 
@@ -474,7 +494,23 @@ def tagged_lines(spark, sf_dir):
     return L.tag_text(address_lines(spark, sf_dir), "line", counts, PLAIN)
 
 
-register("parse_addresses", lambda s, d: tagged_lines(s, d).select("LMK_KEY", F.to_json(L.parse(F.col("tagged"))).alias("pairs")))
+# Tables of both sides have names of their own but for the raw sales, of which the cohort is made.
+LINES_TAGGED = (
+    MODEL
+    + ", "
+    + TOKENS.removeprefix("with ")
+    + decoded("select distinct array_to_string(tokens, '|') as key, tokens from tokens")
+    + """, lines_tagged as (select "LMK_KEY", tagged.tokens, labels, probability from tokens
+    join tagged on key = array_to_string(tokens.tokens, '|'))
+    """
+)
+register(
+    "parse_addresses",
+    lambda s, d: tagged_lines(s, d).select("LMK_KEY", F.to_json(L.parse(F.col("tagged"))).alias("pairs")),
+    LINES_TAGGED
+    + """select "LMK_KEY", to_json(list_transform(list_zip(tokens, labels),
+    lambda z: {'token': z[1], 'label': z[2]}))::varchar as pairs from lines_tagged""",
+)
 register(
     "parse_with_marginals",
     lambda s, d: tagged_lines(s, d)
@@ -487,12 +523,22 @@ register(
     lambda s, d: tagged_lines(s, d)
     .select("LMK_KEY", L.parse_with_probabilities(F.col("tagged")).alias("x"))
     .select("LMK_KEY", F.size("x.tokens").alias("tokens"), "x.sequence_probability"),
+    LINES_TAGGED
+    + """select "LMK_KEY", len(tokens) as tokens, round(probability, 6) as sequence_probability from lines_tagged""",
 )
 register(
     "tag_components",
     lambda s, d: tagged_lines(s, d)
     .select("LMK_KEY", L.components(F.col("tagged")["pairs"]).alias("parts"))
     .select("LMK_KEY", *[F.try_element_at("parts", F.lit(n)).alias(n) for n in RENDER_LABELS]),
+    LINES_TAGGED
+    + 'select "LMK_KEY", '
+    + ", ".join(
+        f"""case when list_contains(labels, '{n}') then trim(array_to_string(list_transform(list_filter(
+        list_zip(tokens, labels), lambda z: z[2] = '{n}'), lambda z: z[1]), ' '), ' ,;') end as "{n}" """
+        for n in RENDER_LABELS
+    )
+    + " from lines_tagged",
 )
 register(
     "tune_smoothing",
