@@ -16,7 +16,7 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PCT = 30
-MAX_SYMBOLS_PER_10_WORDS = 5
+MAX_SYMBOLS_PER_10_WORDS = 2
 MAX_DUP_LINES_PCT = 50
 MEAN_WORD_CHARS = (2, 12)
 MIN_LETTER_WORDS_PCT = 50

@@ -143,7 +143,7 @@ base as (select doc_id, len(words) as n_words, length(array_to_string(words, '')
   from docs left join repeats using (doc_id)),
 failed as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from base)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and 10 * n_symbols <= 5 * n_words and 100 * n_dup_lines <= 50 * n_lines
+  not base_failed and 10 * n_symbols <= 2 * n_words and 100 * n_dup_lines <= 50 * n_lines
   and word_chars between 2 * n_words and 12 * n_words and 100 * n_letter_words >= 50 * n_words as kept
 from failed""",
 }

@@ -38,7 +38,7 @@ def judged(text):
     n, chars, symbols = len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in body)
     dup = len(lines) - len(set(lines))
     failed = n < 20 or 100 * len(again) > 30 * n
-    fine = 10 * symbols <= 5 * n and 100 * dup <= 50 * len(lines) and 2 * n <= chars <= 12 * n
+    fine = 10 * symbols <= 2 * n and 100 * dup <= 50 * len(lines) and 2 * n <= chars <= 12 * n
     letters = sum(bool(regex.search(r"\p{L}", x)) for x in w)
     return n, chars, symbols, dup, len(again), failed, not failed and fine and 100 * letters >= 50 * n
 
