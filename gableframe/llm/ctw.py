@@ -16,12 +16,13 @@ from gableframe.scratch import settle
 DEPTH = 5
 FOLDS, HELD_OUT = 7, 2
 # Contexts with a smaller share of all bytes than this share one leaf with their like.
-MIN_SHARE = 1e-5
+MIN_SHARE = 2e-5
 # The most frequent words, at most so many, travel with the tasks; all others are joined.
 HEAD_WORDS = 200_000
 WORDS_AT_ONCE = 400_000
 BYTES_AT_ONCE = 1 << 23
 PIECE = 1 << 16
+CONTEXTS_AT_ONCE = 1 << 10
 STEPS_PER_OCTAVE = 16
 # Ends a text: no byte of UTF-8.
 END = b"\xff"
@@ -114,9 +115,12 @@ def _bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _kt(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Krichevsky-Trofimov: log probability of what was seen, and of a one to come, per decision."""
-    a, b = _bit_counts(counts)
-    seen = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - np.log(np.pi) - _log_gamma(a + b + 1)
-    return seen, (b + 0.5) / (a + b + 1)
+    seen, one = np.empty((2, len(counts), NODES))
+    for at in range(0, len(counts), CONTEXTS_AT_ONCE):
+        a, b = _bit_counts(counts[at : at + CONTEXTS_AT_ONCE])
+        seen[at : at + len(a)] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - np.log(np.pi) - _log_gamma(a + b + 1)
+        one[at : at + len(a)] = (b + 0.5) / (a + b + 1)
+    return seen, one
 
 
 def _byte_table(ones: np.ndarray) -> np.ndarray:
@@ -152,7 +156,7 @@ class Tree:
             own, (product, rest[d]) = _kt(counts[d])[0], _kt(left)
             np.add.at(product, parents[d + 1], below)
             below = np.logaddexp(own, product) - np.log(2)
-            shares[d] = np.exp(own - np.log(2) - below)
+            shares[d] = np.exp(own - np.log(2) - below).astype(np.float32)
         # Downwards: each node adds its estimate to the mixture of the nodes above it.
         mixed, open_, tables = np.zeros((1, NODES)), np.ones((1, NODES)), []
         for d in range(last + 1):
@@ -160,6 +164,7 @@ class Tree:
                 mixed, open_ = mixed[parents[d]], open_[parents[d]]
             mixed = mixed + open_ * shares[d] * _kt(counts[d])[1]
             open_ = open_ * (1 - shares[d])
+            counts[d] = None  # levels are large: what is done with is let go
             tables.append(_byte_table(mixed + open_ * rest[d] if d < last else mixed))
         self.table = np.concatenate(tables)
         first = np.cumsum([0, *map(len, keys)])
