@@ -65,3 +65,22 @@ def decoded(rows: str) -> str:
     select key, tokens, list_transform(s.p[list_position(s.v, list_max(s.v))], lambda j: {NAMES}[j]) as labels,
       exp(list_max(s.v) - ({total.format('s.a')})) as probability from tg_ended)
 """
+
+
+def with_marginals() -> str:
+    """Tables up to marked (key, labels, marginals), after decoded: forward and backward sums of each place."""
+    ahead = f"""list_transform({EACH}, lambda j: list_max(s.v) + x.v[j] + ln(list_sum(
+      list_transform({EACH}, lambda i: exp(s.v[i] - list_max(s.v) + m[i][j])))))"""
+    back = f"""list_transform({EACH}, lambda i: ln(list_sum(
+      list_transform({EACH}, lambda j: exp(m[i][j] + x.v[j] + s.v[j])))))"""
+    nothing = "[" + ", ".join("0.0::double" for _ in RENDER_LABELS) + "]"
+    return f""", tg_open as (select key, m, first.v as v, list_transform(es, lambda x: {{'v': x.v, 'h': []::double[][]}}) as es
+    from tg_opened), tg_sums as (select key,
+      list_reduce(list_prepend({{'v': v, 'h': [v]}}, es[2:]), lambda s, x: {{'v': {ahead}, 'h': list_append(s.h, {ahead})}}).h as fore,
+      list_reverse(list_reduce(list_prepend({{'v': {nothing}, 'h': [{nothing}]}}, list_reverse(es[2:])),
+        lambda s, x: {{'v': {back}, 'h': list_append(s.h, {back})}}).h) as aft from tg_open), tg_all as (
+    select key, labels, fore, aft, list_max(fore[-1]) + ln(list_sum(
+      list_transform(fore[-1], lambda y: exp(y - list_max(fore[-1]))))) as whole from tg_sums join tagged using (key)),
+    marked as (select key, labels, list_transform(range(1, len(labels) + 1), lambda t:
+      exp(fore[t][list_position({NAMES}, labels[t])] + aft[t][list_position({NAMES}, labels[t])] - whole)) as marginals from tg_all)
+"""

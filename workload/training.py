@@ -13,7 +13,7 @@ from gableframe.plans.cohort import has_signal, without_copies
 from gableframe.scratch import shared_folder
 from gableframe.schema import RENDER_LABELS
 from workload.addresses import COHORT, cohort
-from workload.decoding import counted, decoded
+from workload.decoding import counted, decoded, with_marginals
 from workload.registry import certificates, lake, on_sales, register
 from workload.twins import CERTS, LAKE
 from workload.views import table
@@ -517,6 +517,12 @@ register(
     .select("LMK_KEY", F.inline(L.parse_with_marginals(F.col("tagged"))))
     .groupBy("label")
     .agg(F.count(F.lit(1)).alias("tokens"), F.min("marginal").alias("lowest"), F.max("marginal").alias("highest")),
+    LINES_TAGGED
+    + with_marginals()
+    + """, each as (select unnest(marked.labels) as label, unnest(marginals) as marginal from tokens
+    join marked on key = array_to_string(tokens.tokens, '|'))
+    select label, count(*) as tokens, round(min(marginal), 6) as lowest, round(max(marginal), 6) as highest
+    from each group by label""",
 )
 register(
     "parse_with_probabilities",
