@@ -107,6 +107,14 @@ select doc_id, len(words) as n_words, coalesce(n, 0) as n_removed,
   sha256(array_to_string(case when n is null then words else
     list_filter(words, lambda x, i: not list_contains(ats, i)) end, ' ')) as kept_sha256
 from docs left join gone_of using (doc_id)""",
+    "op5_nearest_neighbours": """
+with vectors as (select vec_id, embedding::double[] as v from embeddings),
+usable as (select vec_id, v from vectors where vec_id is not null and len(v) > 0 and len(v) = len(list_filter(v, lambda x: isfinite(x)))
+  and list_inner_product(v, v) > 0),
+scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score
+  from usable q join usable c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 20""",
     "op6_mix_sources": r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
