@@ -49,26 +49,24 @@ def _learn(z: np.ndarray, n: np.ndarray, at: np.ndarray, x: np.ndarray, label: i
 def fit(examples: DataFrame, classes: int, features: int, pace: Pace) -> np.ndarray:
     """Weights (features + 1, classes), the bias last.
 
-    examples has key (long), label (int), at (array<int>), x (array<double>). Shards learn from the
-    shared state in parallel, in the order of the key, and their states are averaged after each
-    round; a state is as large as the weights, whatever the number of examples.
+    examples has key (long), label (int), at (array<int>), x (array<double>), and is a bounded sample.
+    Shards learn from the shared state in parallel, in the order of the key, and their states are
+    averaged after each round; a state is as large as the weights, whatever the number of examples.
     """
-    dealt = examples.repartition(SHARDS, "key").sortWithinPartitions("key")
+    dealt = examples.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(SHARDS)))
     z, n = np.zeros((2, features + 1, classes))
     for _ in range(pace.rounds):
 
-        def run(batches: Iterator[pa.RecordBatch], z0: np.ndarray = z, n0: np.ndarray = n) -> Iterator[pa.RecordBatch]:
-            z1, n1, seen = z0.copy(), n0.copy(), 0
-            for batch in batches:
+        def run(table: pa.Table) -> pa.Table:
+            z1, n1 = z.copy(), n.copy()
+            for batch in table.sort_by("key").to_batches():
                 for label, at, x in zip(
                     batch.column("label").to_pylist(), batch.column("at"), batch.column("x"), strict=True
                 ):
                     _learn(z1, n1, at.values.to_numpy(), x.values.to_numpy(), label, pace)
-                    seen += 1
-            if seen:
-                yield pa.RecordBatch.from_pydict({"seen": [seen], "z": [z1.tobytes()], "n": [n1.tobytes()]})
+            return pa.table({"seen": [table.num_rows], "z": [z1.tobytes()], "n": [n1.tobytes()]})
 
-        states = dealt.mapInArrow(run, "seen long, z binary, n binary").collect()
+        states = dealt.groupBy("shard").applyInArrow(run, "seen long, z binary, n binary").collect()
         total = sum(s["seen"] for s in states)
         if not total:
             break
