@@ -15,7 +15,16 @@ from gableframe.llm.text import bodies, id_and_text
 # Longer stretches without white space are cut into leaves of this many symbols.
 LEAF = 1024
 # Stretches that a worker remembers with their tokens; the older half is dropped when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+
+
+def foldable(body: bytes) -> bool:
+    """Whether A-Z can be lowered at once, as the clean-up will do it later.
+
+    Not beside combining marks, which only some small letters are joined with, and not where an
+    added token may stand, which is told from other text by its case.
+    """
+    return b"<|" not in body and b"\xcc" not in body and b"\xcd" not in body
 
 
 class Codec:
@@ -104,7 +113,7 @@ class Codec:
 
     def encode(self, body: bytes) -> tuple[np.ndarray, bytes]:
         """Ids, and the text that decoding them gives."""
-        stretches = (body.lower() if body.isascii() and b"<|" not in body else body).split()
+        stretches = (body.lower() if foldable(body) else body).split()
         recent, older = self.recent, self.older
         new = [s for s in set(stretches) if s not in recent]
         known = {s: older[s] for s in new if s in older}

@@ -23,7 +23,7 @@ def whole(codec, text):
     st.one_of(
         st.text(max_size=60),
         st.text("abinthegd'sA1., \n", max_size=200),
-        st.lists(st.sampled_from(["<|endoftext|>", "<|", "the", "ING", " ", "\x1c", "İ", "é", "'S"]), max_size=30).map("".join),
+        st.lists(st.sampled_from(["<|endoftext|>", "<|", "the", "ING", " ", "\x1c", "İ", "é", "'S", "H\u0331", "h\u0331", "I\u0307", "\u0301"]), max_size=30).map("".join),
     )
 )
 def test_as_the_tokenizer(codecs, text):
