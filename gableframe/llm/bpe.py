@@ -15,7 +15,7 @@ from gableframe.llm.text import bodies, id_and_text
 # Longer stretches without white space are cut into leaves of this many symbols.
 LEAF = 1024
 # Stretches that a worker remembers with their tokens; the older half is dropped when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 def foldable(body: bytes) -> bool:
