@@ -12,7 +12,6 @@ WEIGHTS = (3, 1, 2)
 # The mix holds NUMERATOR / DENOMINATOR of all words, and a source at most EPOCHS times its own.
 NUMERATOR, DENOMINATOR = 3, 2
 EPOCHS = 2
-ROWS_PER_RANGE = 20_000
 HEX = 15
 
 
@@ -50,8 +49,11 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def _range(key: Column, n_rows: Column) -> Column:
-    """Ranges of the key with about as many rows each: keys are random, so equal ranges will do."""
-    return F.floor(key / F.lit(float(16**HEX)) * F.ceil(n_rows / ROWS_PER_RANGE)).cast("long")
+    """As many ranges as rows in a range: keys are random, so equal ranges will do.
+
+    So neither the sums of a source nor the rows of one range are more than about the root of its rows.
+    """
+    return F.floor(key / F.lit(float(16**HEX)) * F.ceil(F.sqrt(n_rows))).cast("long")
 
 
 def cuts(sized: DataFrame) -> DataFrame:
