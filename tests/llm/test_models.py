@@ -143,6 +143,19 @@ def test_tree_on_held_out_texts(spark):
     assert np.median([r.bits_per_byte for r in rows]) < 2.6
 
 
+@pytest.mark.parametrize("head", [5, 3000, 1 << 21])
+def test_score_is_that_of_all_contexts(spark, documents, head, monkeypatch):
+    """Contexts met once count as well, whether the codes travel with the tasks or are joined."""
+    for name, value in (("HEAD_CODES", head), ("CODES_AT_ONCE", 2000), ("RARE_AT_ONCE", 1000), ("PIECE", 500)):
+        monkeypatch.setattr(ctw, name, value)
+    docs = documents.where("doc_id < 60")
+    body = docs.select("doc_id", F.col("text").cast("binary").alias("body"))
+    tree = ctw.train_tree(body.where(~ctw.held_out(F.col("doc_id"))), min_share=0)
+    want = {r.doc_id: tree.log10(bytes(r.body or b"")) for r in body.collect()}
+    got = {r.doc_id: r.score for r in ctw.score(docs).collect()}
+    assert got == pytest.approx(want, rel=1e-5)
+
+
 def dot(x, y):
     total = 0.0  # sum() would compensate for rounding
     for a, b in zip(x, y, strict=True):
