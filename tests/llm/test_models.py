@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -216,6 +217,42 @@ def test_licences(spark, documents, edges, nothing):
     assert licenses.scan(edges, licenses.train(nothing)).where("n_paragraphs > 0").count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions"""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+
+
+def test_licences_across_lines(spark, documents):
+    rng = random.Random(4)
+    prose = [w for r in documents.limit(20).collect() for w in (r.text or "").split() if w.isalpha()]
+
+    def filler(n):
+        return " ".join(rng.choice(prose) for _ in range(n))
+
+    texts, want = [], []
+    for family, notice in (("MIT", MIT), ("BSD", BSD), ("GPL", GPL)):
+        for width in (50, 72, 80):
+            for mark in ("", "# ", " * ", "// ", "% ", "rem "):
+                lines = "\n".join(mark + x for x in textwrap.wrap(notice, width))
+                texts.append(f"{filler(30)}\n\n{lines}\n\n{filler(30)}")
+                want.append(family)
+        texts.append(f"{filler(200)} {' '.join(notice.split())} {filler(200)}")
+        want.append(family)
+    others = ("Licensed under CC BY-SA 4.0", "This work is licensed under the GNU Lesser General Public License, version 3",
+              "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License")
+    for notice in others:
+        texts.append(f"{filler(30)}\n{notice}\n{filler(30)}")
+        want.append("unknown")
+    texts += [filler(300), "He lost the driving license and the copyright in 1990."]
+    want += ["", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_paragraphs) for r in licenses.scan(docs, licenses.train(documents)).collect()}
+    assert [(i, got[i][0]) for i in range(len(want))] == list(enumerate(want))
+
+
 def test_tokens_of_sections_add_up(documents, edges, nothing):
     path, pattern = queries.BYTE_BPE, queries.public_tokenizers.PATTERN
     codec = tokencounts.encoding(path, pattern)[0]
