@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gableframe.llm import bpe, ctw, langid, licenses, mixing, quality, simhash, substrings, tokencounts, vptree
+from gableframe.llm import bpe, collocations, ctw, langid, licenses, mixing, quality, simhash, substrings, tokencounts, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
+    "op12_collocations": op12_collocations,
     "pipeline": pipeline,
 }
 
@@ -154,4 +159,24 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and 10 * n_symbols <= 2 * n_words and 100 * n_dup_lines <= 50 * n_lines
   and word_chars between 2 * n_words and 12 * n_words and 100 * n_letter_words >= 50 * n_words as kept
 from failed""",
+    "op12_collocations": r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+split as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+sizes as (select lang, sum(len(w))::bigint as n from split group by lang),
+places as (select lang, w, unnest(range(1, len(w) + 1)) as s from split where len(w) > 0),
+grams as (select lang, w[s:s + k - 1] as p, count(*) as f from places join (select unnest([1, 2, 3, 4]) as k) on s + k - 1 <= len(w)
+  group by 1, 2 having count(*) >= 30),
+longer as (select lang, p, max(f) as most from (
+    select lang, p[:len(p) - 1] as p, f from grams where len(p) > 2 union all select lang, p[2:] as p, f from grams where len(p) > 2)
+  group by 1, 2),
+kept as (select grams.lang, grams.p, f as a from grams left join longer on grams.lang = longer.lang and grams.p = longer.p
+  where len(grams.p) > 1 and 100 * coalesce(most, 0) < 80 * f),
+cuts as (select lang, p, a, unnest(range(1, len(p))) as k from kept),
+scored as (select cuts.*, x.f as l, y.f as r, (2000000::hugeint * a // (x.f + y.f))::bigint as score
+  from cuts join grams x on cuts.lang = x.lang and cuts.p[:k] = x.p join grams y on cuts.lang = y.lang and cuts.p[k + 1:] = y.p),
+worst as (select lang, p, a, min({'score': score, 'k': k, 'l': l, 'r': r}) as w from scored group by 1, 2, 3),
+ranked as (select lang, array_to_string(p, ' ') as phrase, a, w.l as l, w.r as r, n, w.score as score from worst join sizes using (lang)),
+numbered as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from ranked)
+select lang, rank, phrase, a, l, r, n, score from numbered where rank <= 2000""",
 }
