@@ -4,6 +4,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,7 @@ SETTING = "spark.checkpoint.dir"
 # Removes the files of a shuffle as soon as the job that made them is over.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[SparkSession, list[str]] = {}
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -36,12 +38,21 @@ def release() -> None:
     """Deletes all that settle wrote in this process. Frames that read it cannot be used any more."""
     while _made:
         spark, paths = _made.popitem()
-        if spark.sparkContext._jsc is None:
-            continue
-        files = spark.sparkContext._jvm.org.apache.hadoop.fs
         for path in paths:
-            target = files.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table that settle returned, once nothing that reads it is to run again."""
+    path = _path_of.pop(df)
+    _made.get(df.sparkSession, []).remove(path)
+    _delete(df.sparkSession, path)
 
 
 def settle(df: DataFrame, purpose: str, drop_shuffles: bool = False) -> DataFrame:
@@ -61,4 +72,6 @@ def settle(df: DataFrame, purpose: str, drop_shuffles: bool = False) -> DataFram
     finally:
         if drop_shuffles:
             spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    _path_of[settled] = path
+    return settled
