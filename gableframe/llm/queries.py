@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gableframe.llm import bpe, collocations, ctw, langid, licenses, mixing, quality, simhash, substrings, tokencounts, vptree
+from gableframe.llm import bpe, clusters, collocations, ctw, hyperminhash, langid, licenses, mixing, quality, simhash, substrings, tokencounts, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,10 +71,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,10 +100,38 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
+    "op11_centroid_clusters": op11_centroid_clusters,
     "op12_collocations": op12_collocations,
+    "op13_hyperminhash_near_dedup": op13_hyperminhash_near_dedup,
     "pipeline": pipeline,
 }
 
+
+def _clusters_twin(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds one after the other, every distance computed."""
+    floor = "((s - ((s % n) + n) % n) // n)::bigint"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} as materialized (select kept.i, min({{'d': list_sum(list_transform(list_zip(kept.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint,
+    'c': c}}) as w from kept, c{i} group by kept.i)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} as (select w.c as c, dim, sum(v[dim])::hugeint as s, count(*)::hugeint as n from d{i} join kept using (i), range(1, 65) t(dim) group by 1, 2),
+m{i} as (select c, list({floor} order by dim) as v from s{i} group by c),
+c{i + 1} as materialized (select c{i}.c, coalesce(m{i}.v, c{i}.v) as v from c{i} left join m{i} using (c))""")
+    return f"""
+with kept as materialized (select row_number() over () as i, vec_id, e, list_transform(e, lambda x: floor(256 * x)::bigint) as v
+  from (select vec_id, embedding::double[] as e from embeddings)
+  where len(e) = 64 and len(list_filter(e, lambda x: x is not null and isfinite(x))) = 64),
+c0 as materialized (select row_number() over (order by sha256('2:' || coalesce(vec_id::varchar, '')), e) - 1 as c, v from kept
+  qualify row_number() over (order by sha256('2:' || coalesce(vec_id::varchar, '')), e) <= {k}),{",".join(steps)},
+sums as (select w.c as c, sum(w.d)::bigint as x from d{rounds} group by 1)
+select vec_id, w.c::integer as cluster, w.d as distance, x as cluster_inertia, (select sum(x) from sums)::bigint as inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+from d{rounds} join kept using (i) join c{rounds} on c{rounds}.c = w.c join sums on sums.c = w.c"""
+
+
 # Words as the contract has them, for DuckDB.
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -179,4 +215,18 @@ worst as (select lang, p, a, min({'score': score, 'k': k, 'l': l, 'r': r}) as w
 ranked as (select lang, array_to_string(p, ' ') as phrase, a, w.l as l, w.r as r, n, w.score as score from worst join sizes using (lang)),
 numbered as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from ranked)
 select lang, rank, phrase, a, l, r, n, score from numbered where rank <= 2000""",
+    "op11_centroid_clusters": _clusters_twin(),
+    "op13_hyperminhash_near_dedup": rf"""
+with recursive docs as (select doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+sets as (select doc_id, case when len(w) < 2 then w
+  else list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) end as s from docs),
+classes as (select s, len(s) as n, min(doc_id) as node from sets where len(s) > 0 group by s),
+cells as (select node, n, unnest(s) as x from classes),
+links as (select a.node as u, b.node as v from cells a join cells b on a.x = b.x and a.node <> b.node
+  and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by a.node, b.node, a.n, b.n
+  having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (select node, node as root from classes union select v, root from reach join links on node = u),
+least_of as (select node, min(root) as root from reach group by node)
+select doc_id, len(sets.s) as n_shingles, coalesce(root, doc_id) as component_id, coalesce(root, doc_id) = doc_id as kept
+from sets left join classes on sets.s = classes.s left join least_of using (node)""",
 }
