@@ -70,8 +70,7 @@ def test_stripes_are_cut_and_texts_split(documents, monkeypatch):
     parts = [w for part in C.tokens(body) for w in part]
     monkeypatch.setattr(C, "PIECE", 1 << 20)
     assert parts == [w for part in C.tokens(body) for w in part]
-    found = C.stripes(documents, 30, 2)[1].groupBy("lang", "prefix").agg(F.sum("total").alias("t")).collect()
-    totals = {(r.lang, r.prefix): r.t for r in found}
+    totals = {(r.lang, r.phrase): r.n for r in C.stripes(documents, 30, 2)[2].collect()}
     single = Counter()
     for lang, text in rows:
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
