@@ -1,14 +1,17 @@
 """Address tokens: county removal, tokenising and token features."""
 
+import json
 import re
+import zlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gableframe.functions.address import words
-from gableframe.functions.values import literal_map
 
 # Word sets that token features and county removal look at.
 DIRECTIONS = (
@@ -54,13 +57,14 @@ ORDINAL = (
     "11TH", "ELEVENTH", "11FED", "UNFED", "DDEG",
     "12TH", "TWELFTH", "12FED", "DEUDDEGFED",
 )
-# A county name before one of these is part of another name.
+# A county name before one of these is part of another name.
 KEPT_BEFORE = (
     "OFFICE", "HOSPITAL", "CARE", "CLUB", "BANK", "BAR", "SOCIETY", "PRISON", "HMP", "UNI",
     "UNIV", "UNIVERSITY", "UNIVERISTY",
 )
-# A county name after one of these is part of another name; so is one after a digit.
+# A county name after one of these is part of another name; so is one after a digit.
 KEPT_AFTER = ("ON", "DINAS", "UPON")
+# What makes a token, ranges to hyphenate, and pieces to drop.
 TOKEN = r"(?U)\(*\b[^\s,;#&()]+[.,;)\n]*|[#&]"
 RANGES = (
     r"(?U)(\d+[A-Z]?) *- *(\d+[A-Z]?)",
@@ -90,43 +94,60 @@ class Lookups:
     posttowns: Sequence[str] = ()
 
 
+def _branches(names: list[tuple[int, str]]) -> str:
+    """Alternatives for names in their order, put together by their letters.
+
+    A name that ends where others go on stands between those listed before and those listed after it.
+    """
+    ends = [i for i, rest in names if not rest]
+    if ends:
+        sides = [[n for n in names if n[0] < ends[0]], [n for n in names if n[0] > ends[0] and n[1]]]
+        before, after = (_branches(side) if side else "" for side in sides)
+        return "(?:" + "|".join([*([before] if sides[0] else []), "", *([after] if sides[1] else [])]) + ")"
+    groups: dict[str, list[tuple[int, str]]] = {}
+    for i, rest in names:
+        groups.setdefault(rest[0], []).append((i, rest[1:]))
+    parts = [re.escape(letter) + (_branches(rest) if rest != [(rest[0][0], "")] else "") for letter, rest in groups.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def county_pattern(counties: Sequence[str]) -> str:
     """Pattern of a removable county name; of two that start alike the first listed wins.
 
-    Names are grouped by their first letter, so that at most places of a text one letter
-    test settles that no county starts there.
+    Names form a trie of letters, so that the work at a place of the text depends on the letters met
+    there and not on how many names there are; a look at the first letter comes before all else.
     """
-    groups: dict[str, list[str]] = {}
-    for name in counties:
-        if name:
-            groups.setdefault(name[0], []).append(re.escape(name[1:]))
-    names = "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in groups.items())
+    names = [(i, n) for i, n in enumerate(dict.fromkeys(counties)) if n]
+    first = "".join(sorted({re.escape(n[0]) for _, n in names}))
     after = "|".join([*KEPT_AFTER, "[0-9]"])
     before = "|".join(dict.fromkeys([*KEPT_BEFORE, *COMPANY, *FLAT, *RESIDENTIAL, *ROAD]))
-    return rf"(?U)(?<!\b(?:{after})\s)(?:{names})(?!\s(?:{before})\b)"
+    return rf"(?U)(?=[{first}])(?<!\b(?:{after})\s){_branches(names)}(?!\s(?:{before})\b)"
 
 
 def remove_counties(c: Column, counties: Sequence[str]) -> Column:
     """Text without county names, unless they are part of a town or street name."""
-    return F.regexp_replace(c, county_pattern(counties), "") if counties else c
+    return F.regexp_replace(c, county_pattern(counties), "") if any(counties) else c
 
 
 def synonym_words(tokens: Column, synonyms: Mapping[str, str]) -> Column:
     """Tokens replaced by their synonym, letter case mattering.
 
-    The lookup is a map of maps by first letter, as a map literal is searched from its start.
+    The lookup is one constant: an array of small maps, of which the hash of the token picks one, so
+    that a token is compared with a few words at most, however long the list.
     """
     if not synonyms:
         return tokens
-    groups: dict[str, dict[str, str]] = {}
+    size = 1 << max(4, (2 * len(synonyms)).bit_length())
+    held: list[dict[str, str]] = [{} for _ in range(size)]
     for word, target in synonyms.items():
-        if word:
-            groups.setdefault(word[0], {})[word] = target
-    nested = F.create_map(*[x for k, m in groups.items() for x in (F.lit(k), literal_map(m))])
-    return F.transform(
-        tokens,
-        lambda t: F.coalesce(F.try_element_at(F.try_element_at(nested, F.left(t, F.lit(1))), t), t),
-    )
+        held[zlib.crc32(word.encode()) & (size - 1)][word] = target
+    table = F.from_json(F.lit(json.dumps(held)), "array<map<string,string>>")
+
+    def replaced(t: Column) -> Column:
+        place = F.crc32(F.encode(t, "UTF-8")).bitwiseAND(F.lit(size - 1)).cast("int")
+        return F.coalesce(F.try_element_at(F.get(table, place), t), t)
+
+    return F.transform(tokens, replaced)
 
 
 def tokenize(raw: Column, lookups: Lookups = Lookups()) -> Column:
@@ -151,30 +172,49 @@ def digits(token: Column) -> Column:
     )
 
 
-def token_features(token: Column, lookups: Lookups = Lookups()) -> Column:
-    """Sixteen features of one token (C15). A feature that does not apply is null."""
-    clean = F.upper(token)
-    is_number = clean.rlike(r"(?U)^\d+$")
+def _features(token: Column, clean: Column, is_number: Column, lookups: Lookups) -> Column:
+    """The features of a token from its text, its upper-cased text, and whether it is a number."""
     size = F.length(clean).cast("string")
+    has_vowels = reduce(or_, [clean.contains(v) for v in "AEIOU"])
 
     def among(names: Sequence[str]) -> Column:
         return clean.isin(list(names)) if names else F.lit(False)
 
     fields = {
-        "digits": digits(clean),
+        "digits": F.when(is_number, "all_digits").when(clean.rlike("[0-9]"), "some_digits").otherwise("no_digits"),
         "word": F.when(~is_number, clean),
         "length": F.concat(F.when(is_number, "d:").otherwise("w:"), size),
-        "endsinpunc": F.when(token.rlike(r"^.+\.$"), F.right(token, F.lit(1))),
+        "endsinpunc": F.when(token.contains(".") & token.rlike(r"^.+\.$"), F.right(token, F.lit(1))),
         "directional": among(DIRECTIONS),
         "outcode": among(lookups.outcodes),
         "posttown": among(lookups.posttowns),
-        "has_vowels": clean.rlike("[AEIOU]"),
+        "has_vowels": has_vowels,
         **{k: among(v) for k, v in FLAGS.items() if k != "directional"},
         "hyphenations": F.length(clean) - F.length(F.replace(clean, F.lit("-"), F.lit(""))),
     }
     return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
+def _is_number(clean: Column) -> Column:
+    return clean.rlike(r"(?U)^\d+$")
+
+
+def token_features(token: Column, lookups: Lookups = Lookups()) -> Column:
+    """Sixteen features of one token (C15). A feature that does not apply is null."""
+    clean = F.upper(token)
+    return _features(token, clean, _is_number(clean), lookups)
+
+
+def all_token_features(tokens: Column, lookups: Lookups = Lookups()) -> Column:
+    """The features of each token of a list.
+
+    What several features need is worked out first: within a lambda nothing is shared otherwise.
+    """
+    upper = F.transform(tokens, lambda t: F.struct(t.alias("token"), F.upper(t).alias("clean")))
+    known = F.transform(upper, lambda x: F.struct(x["token"].alias("token"), x["clean"].alias("clean"), _is_number(x["clean"]).alias("number")))
+    return F.transform(known, lambda x: _features(x["token"], x["clean"], x["number"], lookups))
+
+
 def sequence_features(
     df: DataFrame, tokens: str, lookups: Lookups = Lookups(), out: str = "features"
 ) -> DataFrame:
@@ -198,7 +238,7 @@ def sequence_features(
         )
 
     return (
-        df.withColumn("__own", F.transform(tokens, lambda t: token_features(t, lookups)))
+        df.withColumn("__own", all_token_features(F.col(tokens), lookups))
         .withColumn(out, F.transform("__own", with_neighbours))
         .drop("__own")
     )

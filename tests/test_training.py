@@ -271,3 +271,28 @@ def test_tuning_prefers_sensible_smoothing(addresses):
     refitted, smoothing = L.refit_best(labelled, by_f1, labels=RENDER_LABELS)
     assert smoothing == L.Smoothing(0.1, 0.1) and refitted.label_totals.sum() > 0
     assert len(L.draw_smoothing(4)) == 4 and L.draw_smoothing(4) == L.draw_smoothing(4)
+
+
+def test_names_in_a_trie_match_as_listed(spark):
+    """Names that begin alike, in any order of the list, against a plain alternation."""
+    import itertools
+    import re
+
+    names = ["YORK", "YORKSHIRE", "YORKS", "KENT", "KE", "ISLE OF ELY", "ISLE"]
+    kept = "|".join(dict.fromkeys([*T.KEPT_BEFORE, *T.COMPANY, *T.FLAT, *T.RESIDENTIAL, *T.ROAD]))
+    texts = ["YORKSHIRE YORK ROAD", "YORKS ROAD KENTISH", "1 KENT", "UPON YORKSHIRE", "ISLE OF ELY ISLE OF X", "KE ROAD KENT ROAD KE"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for listed in itertools.islice(itertools.permutations(names), 0, None, 500):
+        plain = rf"(?<!\bON\s)(?<!\bDINAS\s)(?<!\bUPON\s)(?<![0-9]\s)(?:{'|'.join(listed)})(?!\s(?:{kept})\b)"
+        got = [r.x for r in df.select(T.remove_counties(F.col("t"), listed).alias("x")).collect()]
+        assert got == [re.sub(plain, "", t) for t in texts], listed
+
+
+def test_long_lists_take_no_longer(spark, sf_dir):
+    """Hundreds of names and synonyms: the pattern grows by letters alone, tokens meet few words."""
+    counties = [f"{a}{b}SHIRE" for a in ("NORTH", "SOUTH", "EAST", "WEST", "MID") for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    synonyms = {f"W{i}": f"WORD {i}" for i in range(3000)}
+    assert len(T.county_pattern(counties)) < 2 * len("|".join(counties))
+    df = spark.createDataFrame([("W7 w2999 NORTHQSHIRE W3000 WESTASHIRE ROAD",)], "t string")
+    got = df.select(T.tokenize(F.col("t"), T.Lookups(counties=counties, synonyms=synonyms)).alias("x")).first().x
+    assert got == ["WORD", "7", "WORD", "2999", "W3000", "WESTASHIRE", "ROAD"]

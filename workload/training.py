@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gableframe.functions import cohort as C
 from gableframe.functions import tokens as T
+from gableframe.operators import crf
 from gableframe.operators import labelling as L
 from gableframe.operators import sampling as S
 from gableframe.operators import scoring as R
@@ -226,7 +227,9 @@ register(
 
 # --- tokens ------------------------------------------------------------------------
 
+# As many synonyms and place names as users have: a few words, then house numbers with a letter by rule.
 SYNONYMS = {"RD": "ROAD", "ST": "STREET", "AVE.": "AVENUE", "GDNS": "GARDENS", "APT": "APARTMENT", "STUDIO": "STUDIO FLAT"}
+SYNONYMS |= {f"{i}A": f"{i} A" for i in range(1, 640)}
 
 
 def address_lines(spark, sf_dir):
@@ -256,12 +259,15 @@ register(
 )
 
 
+# Regions stand in for counties, then customers by rule.
+COUNTIES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", *[f"CUSTOMER#{i:09d}" for i in range(222)]]
+
+
 def place_lookups(spark, sf_dir):
     """Regions and market segments stand in for counties and post towns."""
-    names = [r.r_name for r in table(spark, sf_dir, "region").toLocalIterator()]
     towns = table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
     return T.Lookups(
-        counties=sorted(names),
+        counties=COUNTIES,
         synonyms=SYNONYMS,
         outcodes=["GL1", "GL52", "SW1", "EX3"],
         posttowns=sorted(r.c_mktsegment for r in towns.toLocalIterator()),
@@ -278,7 +284,7 @@ def county_lines(spark, sf_dir):
     )
 
 
-REGIONS = "AFRICA|AMERICA|ASIA|EUROPE|MIDDLE EAST"
+REGIONS = "|".join(COUNTIES)
 _KEPT = "|".join(dict.fromkeys([*T.KEPT_BEFORE, *T.COMPANY, *T.FLAT, *T.RESIDENTIAL, *T.ROAD]))
 
 
@@ -550,6 +556,86 @@ register(
     "tune_smoothing",
     lambda s, d: L.tune_smoothing(labelled(s, d), "id", L.draw_smoothing(50, SEED), 3, SEED, labels=RENDER_LABELS),
 )
+
+# --- conditional random field ------------------------------------------------------
+
+ATTRIBUTES = rf"""list_concat(list_filter([{', '.join(
+    f"'{n}=' || {c}" for n, c in (
+        ("digits", r"case when regexp_matches(t, '^\d+$') then 'all_digits' when regexp_matches(t, '[0-9]') then 'some_digits' else 'no_digits' end"),
+        ("word", r"case when not regexp_matches(upper(t), '^\d+$') then upper(t) end"),
+        ("length", r"case when regexp_matches(t, '^\d+$') then 'd:' else 'w:' end || length(t)::varchar"),
+        ("endsinpunc", r"case when regexp_matches(t, '^.+\.$') then right(t, 1) end"),
+    )
+)}, {', '.join(f"case when {among(v)} then '{k}' end" for k, v in (T.FLAGS | {"outcode": FEATURE_LOOKUPS.outcodes, "posttown": FEATURE_LOOKUPS.posttowns}).items())},
+    case when regexp_matches(upper(t), '[AEIOU]') then 'has_vowels' end], lambda x: x is not null),
+    list_transform(range(length(t) - length(replace(t, '-', ''))), lambda x: 'hyphenations'))"""
+PLACED = RENDERED + f""", e as (select id, len(labelled) as n, unnest(labelled) as p, generate_subscripts(labelled, 1) - 1 as pos from rendered),
+    w as (select id, n, pos, p.label as label, p.token as own, lag(p.token) over o as previous, lead(p.token) over o as next,
+      lag(p.label) over o as before from e window o as (partition by id order by pos)),
+    slots as (unpivot w on own, previous, next into name slot value t),
+    tokens as (select t, {ATTRIBUTES} as attributes from (select distinct t from slots)),
+    each as (select slot, unnest(attributes) as attribute, label from slots join tokens using (t)),
+    met as (select slot, attribute, label, count(*) as n from each group by all)
+"""
+register(
+    "crf_attribute_counts",
+    lambda s, d: crf.attribute_counts(labelled(s, d), lookups=FEATURE_LOOKUPS),
+    PLACED + "select slot, attribute, label, n from met",
+)
+NAMES = "[" + ", ".join(f"'{n}'" for n in RENDER_LABELS) + "]"
+register(
+    "crf_first_gradient",
+    lambda s, d: crf.first_gradient(labelled(s, d), labels=RENDER_LABELS, lookups=FEATURE_LOOKUPS),
+    PLACED
+    + f""", placed as (select label, unnest(list_filter([case when pos = 0 and n > 1 then 'rawstring_start' end,
+      case when pos = n - 1 and n > 1 then 'rawstring_end' end, case when n = 1 then 'singleton' end,
+      case when pos = 1 then 'previous_is_start' end, case when pos = n - 2 and n > 1 then 'next_is_end' end],
+      lambda x: x is not null)) as attribute from w),
+    observed as (select slot, attribute, label, n from met union all
+      select 'place', attribute, label, count(*) from placed group by all union all
+      select 'move', before, label, count(*) from w where before is not null group by all),
+    every as (select slot, attribute from (select unnest(['own', 'previous', 'next']) as slot),
+      (select distinct attribute from met where slot = 'own') union all
+      select 'place', unnest(['rawstring_start', 'rawstring_end', 'singleton', 'previous_is_start', 'next_is_end'])
+      union all select 'move', unnest({NAMES})),
+    cells as (select slot, attribute, unnest({NAMES}) as label from every),
+    whole as (select slot, attribute, sum(n) as n from observed where slot <> 'move' group by all),
+    moves as (select sum(n) as n from observed where slot = 'move')
+    select slot, attribute, label, round(case when slot = 'move' then (select n from moves) / {len(RENDER_LABELS) ** 2}
+      else coalesce(whole.n, 0) / {len(RENDER_LABELS)} end - coalesce(observed.n, 0), 6) + 0.0 as gradient
+    from cells left join observed using (slot, attribute, label) left join whole using (slot, attribute)""",
+)
+
+
+def field(spark, sf_dir):
+    """A field trained on the training split, and the holdout split."""
+    split = S.train_holdout(labelled(spark, sf_dir), "id", 0.2, SEED).withColumn(
+        "given", F.transform("labelled", lambda p: p["token"])
+    )
+    model = crf.fit_field(split.where(F.col("split") == "train"), labels=RENDER_LABELS, lookups=FEATURE_LOOKUPS)
+    return model, split.where(F.col("split") == "test")
+
+
+def field_holdout(spark, sf_dir):
+    model, test = field(spark, sf_dir)
+    return L.true_and_predicted(crf.tag_with_field(test, "given", model))
+
+
+# The solver's steps have no SQL: gradients, decoding and scores are compared with plain versions in tests.
+register("crf_holdout_report", lambda s, d: R.label_report(field_holdout(s, d)))
+register("crf_holdout_sequence_accuracy", lambda s, d: R.sequence_accuracy(field_holdout(s, d)))
+register(
+    "crf_parse_addresses",
+    lambda s, d: crf.tag_with_field(
+        address_lines(s, d).withColumn("tokens", T.tokenize(F.col("line"), PLAIN)), "tokens", field(s, d)[0]
+    ).select("LMK_KEY", F.to_json(L.parse(F.col("tagged"))).alias("pairs"), "tagged.sequence_probability"),
+)
+register(
+    "tune_crf",
+    lambda s, d: crf.tune_field(
+        labelled(s, d), "id", crf.draw_penalties(50, SEED), 3, SEED, labels=RENDER_LABELS, lookups=FEATURE_LOOKUPS, steps=12
+    ),
+)
 on_sales("hedonic", hedonic)
 # With one term the effects are differences of means, which SQL can state.
 on_sales(
