@@ -1,10 +1,11 @@
-"""Linking sales to certificates (C4-C6, J4-J6) and preparing both sides."""
+"""Linking sales to certificates (C4-C6, J4-J6, J10) and preparing both sides."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gableframe.functions import address as A
 from gableframe.functions import values as V
+from gableframe.operators.skew import ROWS_PER_TASK, skew_join
 from gableframe.scratch import settle
 
 # Hash buckets used to spread rows; their number bounds every histogram over them.
@@ -161,7 +162,7 @@ def link(
     after: int = 180,
     how: str = "inner",
     date: str = "Date of Transfer",
-    match_empty: bool = False,
+    match_empty: bool = True,
 ) -> DataFrame:
     """Sales joined to certificates of the same address and about the same time.
 
@@ -171,8 +172,8 @@ def link(
     That splits a hot address, such as one without parts, by time, and pairs too far apart
     in time are hardly ever formed.
 
-    An address key without letters and digits says nothing of the address: it matches none, unless
-    `match_empty` asks for it. `how` is inner, left (all sales) or full (all of both sides); for
+    An address key without letters and digits equals other such keys of its postcode; without
+    `match_empty` it matches none. `how` is inner, left (all sales) or full (all of both sides); for
     these, rows are numbered and the pairs settled, so that a row that found no partner comes once,
     whether its id is null or repeated.
     """
@@ -226,3 +227,79 @@ def by_sale_month(linked: DataFrame) -> DataFrame:
 def closest_links(linked: DataFrame, n: int = 20) -> DataFrame:
     """Links with the fewest days between sale and certificate."""
     return linked.orderBy("days_diff", F.col("`Transaction ID`"), "epc_lmk_key").limit(n)
+
+
+# --- containment -------------------------------------------------------------------
+
+# Property types of certificates that a flat may have.
+FLAT_TYPES = ("FLAT", "MAISONETTE")
+
+
+def _listed(parts: list[Column]) -> Column:
+    """Distinct words of some text in order, letters and digits alone."""
+    text = F.upper(F.concat_ws(" ", *parts))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Z0-9]+"), F.lit(0)))
+    return F.array_sort(found)
+
+
+def containing_lists(needed: DataFrame, offered: DataFrame) -> DataFrame:
+    """Pairs (postcode_norm, needs, has) of distinct word lists where has holds every word of needs.
+
+    An inverted index finds them: a list looks only under that of its words which the fewest lists of
+    its postcode hold, and not at all if one of its words is in none; what it finds there is then
+    compared in full. So a street whose houses differ by their numbers forms no pairs.
+    """
+    words = settle(offered.select("postcode_norm", "has", F.explode("has").alias("word")), "words")
+    sizes = words.groupBy("postcode_norm", "word").agg(F.count(F.lit(1)).alias("n"))
+    asked = needed.select("postcode_norm", "needs", F.explode("needs").alias("word")).join(sizes, ["postcode_norm", "word"])
+    found = asked.groupBy("postcode_norm", "needs").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "word")).alias("rarest"))
+    looking = found.where(F.col("known") == F.size("needs")).select("postcode_norm", "needs", F.col("rarest.word").alias("word"))
+    candidates = looking.join(words, ["postcode_norm", "word"])
+    return candidates.where(F.size(F.array_except("needs", "has")) == 0).select("postcode_norm", "needs", "has")
+
+
+def link_contained(
+    sales: DataFrame,
+    certificates: DataFrame,
+    before: int = 365,
+    after: int = 180,
+    date: str = "Date of Transfer",
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Sales joined to certificates of the postcode whose address holds every word of the sale's.
+
+    The words of SAON, PAON and Street may stand in any order and among others. A flat is linked
+    only to certificates of flats and maisonettes. Dates are compared as in link. `tier` is 1 where the
+    address keys are equal as well, so that link finds the pair, and 2 where only the words agree. A sale
+    without words, and one without a postcode, is linked to nothing.
+
+    Word lists are matched once per distinct list. Rows then meet by list and window of time; a list of
+    a hot address is dealt to several tasks.
+    """
+    width = before + after + 1
+    day = F.unix_date(F.to_date(F.col(f"`{date}`")))
+
+    def window(d: Column) -> Column:
+        return F.floor(d / width).cast("int")
+
+    lines = [F.col(c).cast("string") for c in ("ADDRESS1", "ADDRESS", "ADDRESS2", "ADDRESS3") if c in certificates.columns]
+    own = certificate_side(certificates.withColumn("__has", _listed(lines))).withColumnRenamed("epc___has", "has")
+    own = own.withColumnRenamed("epc_postcode_norm", "postcode_norm").withColumn("__w", window(F.unix_date("epc_date")))
+    own = settle(own.where(F.col("postcode_norm").isNotNull() & (F.size("has") > 0)), "certificates")
+    asked = sale_side(sales).withColumn("needs", _listed([F.col("SAON"), F.col("PAON"), F.col("Street")]))
+    asked = settle(asked.where(F.col("postcode_norm").isNotNull() & (F.size("needs") > 0)), "sales")
+
+    lists = containing_lists(asked.select("postcode_norm", "needs").distinct(), own.select("postcode_norm", "has").distinct())
+    lists = settle(lists, "lists")
+    looking = asked.withColumn("__w", F.explode(F.sequence(window(day - before), window(day + after))))
+    met = skew_join(looking, lists, ["postcode_norm", "needs"], rows_per_task=rows_per_task)
+    gap = F.datediff(F.to_date(F.col(f"`{date}`")), F.col("epc_date"))
+    is_flat = F.upper(F.coalesce(F.col("`Property Type`"), F.lit(""))) == "F"
+    fits = ~is_flat | F.upper(F.coalesce(F.col("epc_property_type"), F.lit(""))).isin(*FLAT_TYPES)
+    tier = F.when(F.col("derived_addr_key") == F.col("addr_key_std"), 1).otherwise(2).cast("long")
+    pairs = skew_join(met, own, ["postcode_norm", "has", "__w"], rows_per_task=rows_per_task)
+    return (
+        pairs.where(gap.between(-after, before) & fits)
+        .withColumns({"days_diff": F.abs(gap), "tier": tier})
+        .drop("__w", "needs", "has")
+    )

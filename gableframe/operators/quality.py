@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gableframe.operators.market import col
 from gableframe.operators.quantiles import grouped_quantiles
+from gableframe.operators.skew import ROWS_PER_TASK, skew_join
 from gableframe.scratch import settle
 
 
@@ -47,11 +48,12 @@ def winsorise(
 
 
 def outliers(
-    df: DataFrame, value: str = "Price", lower: float = 0.01, upper: float = 0.99
+    df: DataFrame, value: str = "Price", lower: float = 0.01, upper: float = 0.99, tie: str | None = "Transaction ID"
 ) -> DataFrame:
-    """Rows outside the percentiles, highest value first."""
+    """Rows outside the percentiles, highest value first, equal ones by `tie` if there is such a column."""
     lo, hi = _limits(df, value, lower, upper)
-    return df.where((col(value) < lo) | (col(value) > hi)).orderBy(F.desc(f"`{value}`"))
+    ties = [col(tie)] if tie in df.columns else []
+    return df.where((col(value) < lo) | (col(value) > hi)).orderBy(F.desc(f"`{value}`"), *ties)
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -104,15 +106,19 @@ def histogram(
 
 
 def box_stats(
-    df: DataFrame, by: str = "Property Type", value: str = "Price", reach: float = 1.5
+    df: DataFrame,
+    by: str = "Property Type",
+    value: str = "Price",
+    reach: float = 1.5,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Quartiles, whiskers and number of suspected outliers per group.
 
-    The quartiles are settled first: the rows then meet them without being shuffled by a key
-    that has few values.
+    The quartiles are settled first: few of them meet the rows without a shuffle, and where there
+    are many, the rows of a hot group meet them in several tasks.
     """
     quartiles = grouped_quantiles(
-        df, [by], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}
+        df, [by], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, count="__n"
     ).withColumns(
         {
             "__lo": F.col("q1") - reach * (F.col("q3") - F.col("q1")),
@@ -123,8 +129,9 @@ def box_stats(
         F.col("__v").isNotNull() & ~F.isnan("__v")
     )
     inside = F.col("__v").between(F.col("__lo"), F.col("__hi"))
+    quartiles = settle(quartiles, "quartiles")
     return (
-        rows.join(settle(quartiles, "quartiles"), by)
+        skew_join(rows, quartiles, [by], rows_per_task=rows_per_task, counts=quartiles)
         .groupBy(col(by), "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("__v"))).alias("lower_whisker"),
@@ -135,19 +142,25 @@ def box_stats(
 
 
 def density(
-    df: DataFrame, by: str = "Property Type", value: str = "Price", bins: int = 40
+    df: DataFrame,
+    by: str = "Property Type",
+    value: str = "Price",
+    bins: int = 40,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Share of each equal-width bin within its group.
 
     Limits and bin counts are map-side aggregates; a group has at most `bins` rows. The limits
-    are settled first, so that the rows meet them without a shuffle.
+    are settled first: few of them meet the rows without a shuffle, and where there are many, the
+    rows of a hot group meet them in several tasks.
     """
     rows = df.select(col(by), col(value).cast("double").alias("__v")).where(
         col(by).isNotNull() & F.col("__v").isNotNull() & ~F.isnan("__v")
     )
-    limits = rows.groupBy(col(by)).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    limits = rows.groupBy(col(by)).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count(F.lit(1)).alias("__n"))
+    limits = settle(limits, "limits")
     counts = (
-        rows.join(settle(limits, "limits"), by)
+        skew_join(rows, limits, [by], rows_per_task=rows_per_task, counts=limits)
         .groupBy(
             col(by), "lo", "hi", bin_of(F.col("__v"), F.col("lo"), F.col("hi"), bins).alias("bin")
         )

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from gableframe.functions.values import months_between_sales, percent_change
 from gableframe.operators.market import col
 from gableframe.operators.quantiles import grouped_median
+from gableframe.operators.skew import ROWS_PER_TASK, skew_join
+from gableframe.scratch import settle
 
 
 def monthly_series(
@@ -49,10 +51,14 @@ def seasonal_pivot(df: DataFrame, price: str = "Price") -> DataFrame:
     return medians.groupBy("Year").agg(*cells).orderBy("Year")
 
 
-def repeated_addresses(df: DataFrame, address: str = "ADDRESS_ID") -> DataFrame:
-    """Sales of addresses that occur more than once (J7, W2), with the number of occurrences."""
+def repeated_addresses(df: DataFrame, address: str = "ADDRESS_ID", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Sales of addresses that occur more than once (J7, W2), with the number of occurrences.
+
+    The sales of a hot address, such as one without parts, meet their count in several tasks.
+    """
     counts = df.groupBy(col(address)).agg(F.count(F.lit(1)).alias("occurrences"))
-    return df.join(counts.where(F.col("occurrences") > 1), address)
+    counts = settle(counts.where(F.col("occurrences") > 1), "occurrences")
+    return skew_join(df, counts, [address], rows_per_task=rows_per_task, counts=counts, n="occurrences")
 
 
 def next_sale(

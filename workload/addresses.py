@@ -23,7 +23,7 @@ LINK = both(LAKE, CERTS) + f""", p as (select *, {SALE_KEY} as k from lake), e a
   select *, coalesce({_DATES})::date as epc_date from certs), linked as (
   select p."Transaction ID", e."LMK_KEY" as epc_lmk_key, p."Date of Transfer", e.epc_date,
     abs(date_diff('day', e.epc_date, p."Date of Transfer")) as days_diff, p.sale_year, p.sale_month
-  from p join e on p."Postcode" = e.postcode_norm and p.k = e.addr_key and p.k <> ''
+  from p join e on p."Postcode" = e.postcode_norm and p.k = e.addr_key
   where date_diff('day', e.epc_date, p."Date of Transfer") between -180 and 365)
 """
 LINKED = ["Transaction ID", "epc_lmk_key", "Date of Transfer", "epc_date", "days_diff", "sale_year", "sale_month"]
@@ -57,6 +57,27 @@ register(
     LINK + f"""select {LINKED_SQL} from linked order by days_diff, "Transaction ID", epc_lmk_key limit 20""",
 )
 
+CONTAINED = ["Transaction ID", "epc_lmk_key", "days_diff", "tier"]
+
+
+def word_list(*columns):
+    text = "upper(concat_ws(' ', " + ", ".join(f'"{c}"' for c in columns) + "))"
+    return f"list_sort(list_distinct(regexp_extract_all({text}, '[A-Z0-9]+')))"
+
+
+register(
+    "link_contained",
+    lambda s, d: K.link_contained(lake(s, d), certificates(s, d)).select(*[f"`{c}`" for c in CONTAINED]),
+    both(LAKE, CERTS)
+    + f""", p as (select *, {SALE_KEY} as k, {word_list("SAON", "PAON", "Street")} as needs from lake), e as (
+    select *, coalesce({_DATES})::date as epc_date, {word_list("ADDRESS1", "ADDRESS2", "ADDRESS3")} as has from certs)
+    select p."Transaction ID", e."LMK_KEY" as epc_lmk_key, abs(date_diff('day', e.epc_date, p."Date of Transfer")) as days_diff,
+      case when p.k = e.addr_key then 1 else 2 end::bigint as tier
+    from p join e on p."Postcode" = e.postcode_norm and list_has_all(e.has, p.needs) and len(p.needs) > 0
+    where date_diff('day', e.epc_date, p."Date of Transfer") between -180 and 365
+      and (upper(coalesce(p."Property Type", '')) <> 'F' or upper(coalesce(e."PROPERTY_TYPE", '')) in ('FLAT', 'MAISONETTE'))""",
+)
+
 # --- preparation of both sides -----------------------------------------------------
 
 UP = r"trim(regexp_replace(upper({c}), '\s+', ' ', 'g'))"
