@@ -74,7 +74,7 @@ def to_text(c: Column, upper: bool = False) -> Column:
     return F.upper(text) if upper else text
 
 
-def tokens_from(c: Column) -> Column:
+def scalar_words(c: Column) -> Column:
     """Words of a scalar."""
     return words(to_text(c))
 

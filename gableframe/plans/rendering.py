@@ -27,6 +27,7 @@ NUMBER_ORDERS = ((0.90, ("BuildingNumber", "StreetName")), (0.10, ("StreetName",
 NAME_ORDERS = ((0.85, ("BuildingName", "StreetName")), (0.15, ("StreetName", "BuildingName")))
 NO_STREET_ORDER = ("SubBuildingName", "BuildingName", "BuildingNumber", "StreetName")
 PLACE_ORDERS = ((0.90, ("Locality", "TownName")), (0.10, ("TownName", "Locality")))
+# Chances that the street moves next to the building, and that this is the number.
 STREET_NEXT_TO_BUILDING = 0.7
 STREET_NEXT_TO_NUMBER = 0.6
 
@@ -47,7 +48,7 @@ def weighted_choice(u: Column, options: tuple) -> Column:
 
 def field_tokens() -> dict[str, Column]:
     """Tokens of each part of a cohort row, by label."""
-    parts = {n: C.tokens_from(F.col(n)) for n in RENDER_LABELS if n != "Postcode"}
+    parts = {n: C.scalar_words(F.col(n)) for n in RENDER_LABELS if n != "Postcode"}
     parts["Postcode"] = C.postcode_tokens(F.col("Postcode"), F.col("Outcode"), F.col("Incode"))
     return parts
 

@@ -67,10 +67,13 @@ def enrich_sales(
 ) -> DataFrame:
     """Adds the lake columns to raw sales and keeps rows with a date and a price.
 
+    A price given as text becomes a number; text that is none counts as missing.
     The date comes from `date_col` or a column known to hold it, else from year and month
     columns (F4, F5); postcode likewise (S14).
     """
     df = positional(df, force_positional)
+    if dict(df.dtypes).get("Price") == "string":
+        df = df.withColumn("Price", V.to_number(F.col("Price")))
     date_name = date_col or V.resolve_column(df.columns, DATE_NAMES)
     postcode_name = postcode_col or V.resolve_column(df.columns, POSTCODE_NAMES)
     if date_name:

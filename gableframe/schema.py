@@ -22,26 +22,42 @@ CANONICAL = (
     "Record Status",
 )
 
-# Header spellings accepted for each canonical column.
-ALIASES = {
-    "Transaction ID": ("transaction unique identifier", "transaction id"),
-    "Price": ("price", "amount"),
-    "Date of Transfer": ("date of transfer", "transfer date", "date"),
-    "Postcode": ("postcode", "post code"),
-    "Property Type": ("property type", "property_type"),
-    "Old/New": ("old/new", "new build", "is new"),
-    "Duration": ("duration", "tenure"),
-    "PAON": ("paon", "primary addressable object name"),
-    "SAON": ("saon", "secondary addressable object name"),
-    "Street": ("street", "thoroughfare"),
-    "Locality": ("locality",),
-    "Town/City": ("town/city", "town", "city"),
-    "District": ("district", "local authority"),
-    "County": ("county",),
-    "PPD Category Type": ("ppd category type",),
-    "Record Status": ("record status - monthly file only", "record status"),
+# Header spellings and the canonical columns they stand for.
+CANONICAL_OF = {
+    "transaction unique identifier": "Transaction ID",
+    "transaction id": "Transaction ID",
+    "price": "Price",
+    "amount": "Price",
+    "date of transfer": "Date of Transfer",
+    "transfer date": "Date of Transfer",
+    "date": "Date of Transfer",
+    "postcode": "Postcode",
+    "post code": "Postcode",
+    "property type": "Property Type",
+    "property_type": "Property Type",
+    "old/new": "Old/New",
+    "new build": "Old/New",
+    "is new": "Old/New",
+    "duration": "Duration",
+    "tenure": "Duration",
+    "paon": "PAON",
+    "primary addressable object name": "PAON",
+    "saon": "SAON",
+    "secondary addressable object name": "SAON",
+    "street": "Street",
+    "thoroughfare": "Street",
+    "locality": "Locality",
+    "town/city": "Town/City",
+    "town": "Town/City",
+    "city": "Town/City",
+    "district": "District",
+    "local authority": "District",
+    "county": "County",
+    "ppd category type": "PPD Category Type",
+    "record status - monthly file only": "Record Status",
+    "record status": "Record Status",
 }
-CANONICAL_OF = {alias: name for name, aliases in ALIASES.items() for alias in aliases}
+# Fixed value: so many known columns make a line a header.
 MIN_HEADER_HITS = 4
 
 # Register codes and their display names.
@@ -62,7 +78,7 @@ CODES = {
     "Record Status": {"A": "Addition", "C": "Change", "D": "Delete"},
 }
 
-# Columns whose text is trimmed and upper-cased when sales are cleaned.
+# Columns whose text is trimmed and upper-cased when sales are cleaned.
 STANDARDISED = (
     "Postcode",
     "Street",
@@ -74,7 +90,7 @@ STANDARDISED = (
     "SAON",
 )
 
-# Dimensions offered as filters.
+# Dimensions offered as filters.
 FILTER_DIMENSIONS = (
     "County",
     "District",
@@ -95,7 +111,7 @@ LAYOUTS = {
     "none": (),
 }
 
-# Partition columns that a summary looks for.
+# Partition columns that a summary looks for.
 KNOWN_PARTITIONS = ("outcode2", "lodgement_year", "sale_year", "sale_month")
 
 # Column names under which a date or a postcode may arrive.
@@ -151,12 +167,3 @@ def declared_schema() -> T.StructType:
             for c in CANONICAL
         ]
     )
-
-
-def labelled_type() -> T.ArrayType:
-    """Ordered (token, label) pairs."""
-    return T.ArrayType(
-        T.StructType(
-            [T.StructField("token", T.StringType()), T.StructField("label", T.StringType())]
-        )
-    )

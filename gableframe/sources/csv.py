@@ -1,8 +1,10 @@
 """Readers for price-paid CSV, lookups and centroids."""
 
+import csv
+import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,11 +20,6 @@ from gableframe.scratch import settle
 # File names taken for delimited text.
 TEXT_FILES = ("*.csv", "*.txt", "*.csv.gz", "*.txt.gz")
 
-# Columns of a line that are looked at; price-paid files have sixteen.
-MOST_COLUMNS = 40
-CELL_END = "\x1f"
-
-
 def normalise_headers(columns: Sequence[str]) -> list[str] | None:
     """Canonical names for a header line, or None when it is no header."""
     mapped = [CANONICAL_OF.get(c.strip().lower()) for c in columns]
@@ -39,32 +36,47 @@ def _canonical_place(cells: Sequence[str]) -> dict[str, int]:
     return place
 
 
+def _is_heading(cells: Column) -> Column:
+    """Whether a line names enough of the known columns."""
+    named = F.transform(cells, lambda c: F.lower(F.btrim(c, F.lit(' \t"'))))
+    return F.size(F.array_intersect(named, F.array(*map(F.lit, CANONICAL_OF)))) >= MIN_HEADER_HITS
+
+
+def _layouts(spark: SparkSession, path: str | list[str], delimiter: str) -> tuple[DataFrame, int]:
+    """(file, places) of files with a header, and the largest number of columns that a line may have.
+
+    places says where each canonical column stands, -1 where it does not. Only distinct header lines
+    come to the driver.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    cells = F.split("value", re.escape(delimiter))
+    width, head = F.max(F.size(cells)).alias("width"), F.min(F.when(_is_heading(cells), F.col("value"))).alias("head")
+    facts = settle(lines.groupBy("file").agg(width, head), "headers")
+    known = []
+    for row in facts.where("head is not null").select("head").distinct().toLocalIterator():
+        place = _canonical_place(next(csv.reader([row["head"]], delimiter=delimiter)))
+        known.append((row["head"], [place.get(name, -1) for name in CANONICAL]))
+    placed = spark.createDataFrame(known, "head string, places array<int>")
+    widest = facts.agg(F.max("width")).first()[0] or 0
+    return settle(facts.join(placed, "head").select("file", "places"), "layouts"), max(widest, len(CANONICAL))
+
+
 def read_sales_csv(spark: SparkSession, path: str | list[str], delimiter: str = ",") -> DataFrame:
     """Price-paid CSV as the sixteen columns, price and date parsed.
 
-    Each file has a header of its own, in any order and spelling, or none. Lines that are headers by
-    what they hold are taken out wherever they stand; the rows of a file with one are matched by name,
-    those of others by position, short lines padded with nulls and long ones cut. Only the distinct
-    header lines come to the driver.
+    Each file has a header of its own, in any order and spelling and among any number of columns, or
+    none. Lines that are headers by what they hold are taken out wherever they stand; the rows of a
+    file with one are matched by name, those of others by position, short lines padded with nulls
+    and long ones cut. Rows get their places from a join with the layouts of the files, so that the
+    plan is the same for one header and for hundreds.
     """
-    names = [f"_c{i}" for i in range(MOST_COLUMNS)]
+    layouts, width = _layouts(spark, path, delimiter)
+    names = [f"_c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     read = spark.read.schema(schema).csv(path, header=False, sep=delimiter, quote='"')
-    raw = read.select(*names, F.col("_metadata.file_path").alias("__file"))
-    known = list(CANONICAL_OF)
-    cells = F.transform(F.array(*names), lambda c: F.lower(F.trim(c)))
-    heading = F.size(F.array_intersect(cells, F.array(*map(F.lit, known)))) >= MIN_HEADER_HITS
-    line = F.array_join(F.array(*names), CELL_END, "").alias("line")
-    heads = settle(raw.where(heading).select("__file", line).groupBy("__file").agg(F.min("line").alias("__head")), "headers")
-    layouts = {r[0]: _canonical_place(r[0].split(CELL_END)) for r in heads.select("__head").distinct().toLocalIterator()}
-    rows = raw.where(~heading).join(heads, "__file", "left")
-    out = []
-    for i, name in enumerate(CANONICAL):
-        value = F.when(F.col("__head").isNull(), F.col(names[i]))
-        for text, place in layouts.items():
-            if name in place:
-                value = value.when(F.col("__head") == text, F.col(names[place[name]]))
-        out.append(value.alias(name))
+    raw = read.select(F.array(*names).alias("cells"), F.col("_metadata.file_path").alias("file"))
+    rows = raw.where(~_is_heading(F.col("cells"))).join(layouts, "file", "left")
+    out = [F.get("cells", F.coalesce(F.get("places", F.lit(i)), F.lit(i))).alias(name) for i, name in enumerate(CANONICAL)]
     return coerce_schema(rows.select(*out))
 
 

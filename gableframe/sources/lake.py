@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gableframe.plans.certificates import enrich_certificates, link_keys, year_range
 from gableframe.schema import LAYOUTS
-from gableframe.scratch import settle
 from gableframe.sources.csv import TEXT_FILES, list_files, read_delimited
 
 # The codecs on offer.
@@ -24,27 +23,14 @@ def _codec(compression: str) -> str:
     return compression
 
 
-def one_file_per_leaf(df: DataFrame, keys: list[str], rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
-    """Rows shuffled so that each partition folder gets exactly one file (K6).
+def one_file_per_leaf(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows shuffled once so that each partition folder is written by one task (K6).
 
-    The rows of a folder with more than `rows_per_file` rows are dealt out to as many tasks as
-    that takes, so that a hot one, such as the sentinel for unknown postcodes, is not written by
-    a single task; its files then hold about that many rows, at most twice as many. The sizes come from a count of the keys alone, and rows of a large folder are spread by the
-    hash of all their columns.
+    The planner sees the sizes when the rows have been dealt out: small folders share a task, and one
+    that is far larger than others, such as the sentinel for unknown postcodes, is cut into several. Nothing is
+    counted beforehand, the input is computed once.
     """
-    counts = df.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int").alias("__files")
-    )
-    sizes = settle(counts, "leaf-sizes")
-    # Null-safe: a missing key value is a folder too.
-    left, right = df.alias("rows"), sizes.alias("sizes")
-    same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"sizes.{k}")) for k in keys]
-    test = same[0]
-    for s in same[1:]:
-        test = test & s
-    spread = F.pmod(F.xxhash64(*[F.col(f"rows.`{c}`") for c in df.columns]), F.col("sizes.__files"))
-    salted = left.join(right, test).select("rows.*", spread.alias("__salt"))
-    return salted.repartition(*keys, "__salt").drop("__salt")
+    return df.hint("rebalance", *[F.col(f"`{k}`") for k in keys])
 
 
 def write_lake(
@@ -74,8 +60,8 @@ def write_partitioned(
         # Tasks write their own files; joining them in one task would not scale.
         out = df.write.option("maxRecordsPerFile", rows_per_file)
     else:
-        laid = one_file_per_leaf(df, keys, rows_per_file) if single_file_leaves else df
-        out = laid.write.option("maxRecordsPerFile", 2 * rows_per_file).partitionBy(*keys)
+        laid = one_file_per_leaf(df, keys) if single_file_leaves else df
+        out = laid.write.option("maxRecordsPerFile", rows_per_file).partitionBy(*keys)
     out.mode(mode).option("compression", _codec(compression)).parquet(path)
 
 
@@ -125,9 +111,8 @@ def write_address_export(
     sales: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = ROWS_PER_FILE
 ) -> None:
     """Address columns, one folder per sale year (K9)."""
-    # Laid out with all columns: copies of an address differ by their transaction, and so spread.
-    laid = address_export(one_file_per_leaf(sales, ["sale_year"], rows_per_file))
-    out = laid.write.option("maxRecordsPerFile", 2 * rows_per_file).partitionBy("sale_year")
+    laid = one_file_per_leaf(address_export(sales), ["sale_year"])
+    out = laid.write.option("maxRecordsPerFile", rows_per_file).partitionBy("sale_year")
     out.mode(mode).option("compression", "zstd").parquet(path)
 
 

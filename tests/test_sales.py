@@ -244,3 +244,39 @@ def test_balanced_sample_with_null_strata(spark):
     df = spark.createDataFrame(rows, "id long, s string")
     got = balanced_sample(df, 300, "id", F.col("s")).groupBy("s").count().collect()
     assert {r.s: r["count"] for r in got} == {None: 100, "a": 100, "b": 100}
+
+
+def test_hedonic_with_many_levels(spark):
+    """Ten thousand levels by steps, against least squares on the cells; the same on every run."""
+    import numpy as np
+
+    from gableframe.operators.hedonic import hedonic
+
+    rng = np.random.default_rng(8)
+    areas, kinds = np.repeat(np.arange(10_000), 4), np.tile(["D", "F", "S", "T"], 10_000)
+    effects = dict(zip("DFST", (0.0, -0.4, 0.1, 0.3)))
+    of_area = rng.normal(0, 0.5, 10_000)
+    logs = 11 + of_area[areas] + np.array([effects[k] for k in kinds])
+    rows = [(float(np.exp(y)), f"A{a:05d}", str(k)) for y, a, k in zip(logs, areas, kinds)]
+    df = spark.createDataFrame(rows, "Price double, Outward string, `Property Type` string")
+    got = {(r.term, r.level): r.coefficient for r in hedonic(df, terms=("Property Type", "Outward")).collect()}
+    assert len(got) == 1 + 3 + 9_999
+    for k in "FST":
+        assert got["property_type", k] == pytest.approx(effects[k], abs=1e-6)
+    found = np.array([got["outward", f"A{a:05d}"] for a in range(1, 10_000)])
+    assert np.abs(found - (of_area[1:] - of_area[0])).max() < 1e-6
+
+
+def test_hedonic_by_steps_equals_direct_and_repeats(spark):
+    from gableframe.operators.hedonic import hedonic
+
+    rows = [(100.0 + 7 * (i % 13) + i % 5, "ABC"[i % 3], str(i % 7), None if i == 9 else "x") for i in range(400)]
+    df = spark.createDataFrame(rows, ["Price", "Property Type", "Outward", "Duration"])
+    terms = ("Property Type", "Outward", "Duration")
+    direct = sorted(hedonic(df, terms=terms).collect())
+    steps = sorted(hedonic(df, terms=terms, direct=0).collect())
+    assert [r[:2] for r in direct] == [r[:2] for r in steps]
+    assert [r.coefficient for r in steps] == pytest.approx([r.coefficient for r in direct], abs=1e-8)
+    assert all(sorted(hedonic(df.repartition(n), terms=terms).collect()) == direct for n in (1, 3, 8))
+    none = spark.createDataFrame([], df.schema)
+    assert hedonic(none, terms=terms).collect() == []

@@ -68,10 +68,11 @@ def written_csv(spark, sf_dir):
     """CSV with a header, written and read back."""
     path = shared_folder(spark, "plain-csv")
     L.write_csv(table(spark, sf_dir, "part"), path)
-    return C.read_delimited(spark, path, all_text=True).select("p_partkey", "p_name")
+    return C.read_delimited(spark, path, all_text=True)
 
 
-register("write_csv", written_csv, "select p_partkey::varchar as p_partkey, p_name from part")
+register("write_csv", written_csv, """select p_partkey::varchar as p_partkey, p_name, p_brand, p_type,
+    p_size::varchar as p_size, p_retailprice::varchar as p_retailprice from part""")
 
 
 def load_alias_headers(spark, sf_dir):
@@ -302,6 +303,22 @@ register(
 )
 
 
+def bounded_files(spark, sf_dir):
+    """A lake whose tasks write files of their own, of bounded size: rows per folder and the largest file."""
+    path = shared_folder(spark, "lake-bounded")
+    rows = lake(spark, sf_dir).select("Transaction ID", "sale_year", "outcode2")
+    L.write_lake(rows, path, "outcode2_only", rows_per_file=500, single_file_leaves=False)
+    files = D.open_parquet(spark, path, file_name=True).groupBy("outcode2", "filename").agg(F.count(F.lit(1)).alias("n"))
+    return files.groupBy("outcode2").agg(F.sum("n").alias("n"), (F.max("n") <= 500).alias("bounded"))
+
+
+register(
+    "lake_bounded_files",
+    bounded_files,
+    LAKE + "select outcode2, count(*) as n, true as bounded from lake group by outcode2",
+)
+
+
 def single_file(spark, sf_dir):
     path = shared_folder(spark, "single")
     counts = lake(spark, sf_dir).groupBy("sale_year").agg(F.count(F.lit(1)).alias("n"))

@@ -56,7 +56,7 @@ SALES = f"""with raw as ({raw_sales_sql()}), parsed as (
 
 # Common table expressions up to `lake`, the sales with lake columns.
 LAKE = f"""with raw as ({raw_sales_sql()}), keyed as (
-  select * exclude ("Date of Transfer", "Postcode"),
+  select * exclude ("Date of Transfer", "Postcode", "Price"), try_cast(trim("Price") as double) as "Price",
     coalesce(try_strptime(split_part("Date of Transfer", ' ', 1), '%Y-%m-%d'),
       try_strptime(split_part("Date of Transfer", ' ', 1), '%d/%m/%Y'))::date as "Date of Transfer",
     replace(upper("Postcode"), ' ', '') as "Postcode" from raw), split as (
