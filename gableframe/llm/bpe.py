@@ -14,8 +14,13 @@ from gableframe.llm.text import bodies, id_and_text
 
 # Longer stretches without white space are cut into leaves of this many symbols.
 LEAF = 1024
-# Stretches that a worker remembers with their tokens; the older half is dropped when it is full.
-REMEMBERED = 200_000
+# Stretches that a worker remembers with their tokens; the older half is dropped when it is full. One is
+# remembered when it comes up for the second time, so that those met once do not push out others;
+# a table of so many marks, by hash, tells which came up before.
+REMEMBERED = 300_000
+MARKS = 1 << 22
+# Bytes of text and rows encoded together, which look up each distinct stretch once.
+TEXT_AT_ONCE, ROWS_AT_ONCE = 1 << 20, 256
 
 
 def foldable(body: bytes) -> bool:
@@ -50,6 +55,7 @@ class Codec:
         self.ending = self.whole.model
         self.recent: dict[bytes, tuple[bytes, bytes]] = {}
         self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        self.marks, self.marked = bytearray(MARKS), 0
 
     def merge(self, symbols: str, ends: bool) -> list[int]:
         return [t.id for t in (self.ending if ends else self.inner).tokenize(symbols)]
@@ -100,32 +106,52 @@ class Codec:
                     found += self.tree(symbols)
         return found
 
-    def learn(self, stretches: list[bytes]) -> None:
-        if len(self.recent) + len(stretches) > REMEMBERED // 2:
-            self.older, self.recent = self.recent, {}
+    def tokens(self, stretches: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids and decoded text of each stretch."""
         texts = [s.decode("utf-8", "replace") for s in stretches]
-        short = [t for t in texts if len(t) <= self.leaf]
-        coded = iter(self.whole.encode_batch_fast(short, add_special_tokens=False))
-        for key, text in zip(stretches, texts, strict=True):
+        coded = iter(self.whole.encode_batch_fast([t for t in texts if len(t) <= self.leaf], add_special_tokens=False))
+        for text in texts:
             ids = next(coded).ids if len(text) <= self.leaf else self.long(text)
-            out = " ".join([self.text[i] for i in ids]).encode()
-            self.recent[key] = np.array(ids, np.int32).tobytes(), out
+            yield np.array(ids, np.int32).tobytes(), " ".join([self.text[i] for i in ids]).encode()
+
+    def remember(self, stretch: bytes, found: tuple[bytes, bytes]) -> None:
+        """Keeps what was found if the stretch came up before."""
+        mark = hash(stretch) & (MARKS - 1)
+        if self.marks[mark]:
+            self.recent[stretch] = found
+        else:
+            self.marks[mark] = 1
+            self.marked += 1
+
+    def look_up(self, stretches: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        recent, older = self.recent, self.older
+        known = {s: recent[s] for s in stretches if s in recent}
+        again = {s: older[s] for s in stretches if s not in known and s in older}
+        recent.update(again)
+        known.update(again)
+        fresh = [s for s in stretches if s not in known]
+        for s, found in zip(fresh, self.tokens(fresh), strict=True):
+            known[s] = found
+            self.remember(s, found)
+        if len(recent) > REMEMBERED // 2:
+            self.older, self.recent = recent, {}
+        if self.marked > MARKS // 4:
+            self.marks, self.marked = bytearray(MARKS), 0
+        return known
+
+    def encode_all(self, texts: list[bytes]) -> list[tuple[np.ndarray, bytes]]:
+        """Ids of each text, and what decoding them gives."""
+        split = [(t.lower() if foldable(t) else t).split() for t in texts]
+        known = self.look_up(set().union(*split))
+        out = []
+        for stretches in split:
+            pairs = [known[s] for s in stretches]
+            ids = np.frombuffer(b"".join([p[0] for p in pairs]), np.int32)
+            out.append((ids, b" ".join([p[1] for p in pairs if p[1]])))
+        return out
 
     def encode(self, body: bytes) -> tuple[np.ndarray, bytes]:
-        """Ids, and the text that decoding them gives."""
-        stretches = (body.lower() if foldable(body) else body).split()
-        recent, older = self.recent, self.older
-        new = [s for s in set(stretches) if s not in recent]
-        known = {s: older[s] for s in new if s in older}
-        recent.update(known)
-        if len(known) < len(new):
-            self.learn([s for s in new if s not in known])
-            if self.recent is not recent:  # what the document needs stays at hand
-                self.recent.update({s: recent[s] for s in set(stretches) if s in recent})
-                recent = self.recent
-        pairs = [recent[s] for s in stretches]
-        ids = np.frombuffer(b"".join([p[0] for p in pairs]), np.int32)
-        return ids, b" ".join([p[1] for p in pairs if p[1]])
+        return self.encode_all([body])[0]
 
 
 @lru_cache(2)
@@ -142,15 +168,27 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     to its length only.
     """
 
+    def some(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+        """Rows that are encoded together, with where they start."""
+        start, held, size = 0, [], 0
+        for at, body in enumerate(bodies(batch)):
+            held.append(body or b"")
+            size += len(held[-1])
+            if size >= TEXT_AT_ONCE or len(held) >= ROWS_AT_ONCE:
+                yield start, held
+                start, held, size = at + 1, [], 0
+        if held:
+            yield start, held
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                done = [own.encode(b or b"") for b in bodies(part)]
+            for start, texts in some(batch):
+                done = own.encode_all(texts)
                 bounds = np.cumsum([0, *[len(i) for i, _ in done]], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([i for i, _ in done])))
                 out = pa.array([t for _, t in done], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, out], ["doc_id", "ids", "decoded"])
+                rows = batch.column("doc_id").slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([rows, ids, out], ["doc_id", "ids", "decoded"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
