@@ -7,9 +7,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gableframe.llm import members
 from gableframe.llm.components import components
 from gableframe.llm.text import bodies, id_and_text
 from gableframe.scratch import settle
@@ -165,16 +165,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row left of each group of near copies: that of the least doc_id.
 
-    Of rows that share this id, texts with the least hash stay, and of equal rows one.
+    Of rows that share this id, texts with the least hash stay, and of equal rows one. What goes is
+    found on narrow rows; a filter of bounded size tells which rows that may concern, and only these
+    meet the decisions, so that texts of documents without copies are never shuffled.
     """
     found = settle(fingerprints(docs, id_col, text_col), "fingerprints")
     row = F.struct("doc_id", "text_hash")
     firsts = found.groupBy("fp").agg(F.min(row).alias("row")).join(_rooted(found), "fp")
-    chosen = settle(firsts.groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "chosen")
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    body = F.col(f"`{text_col}`").cast("binary")
-    keyed = docs.withColumns({"__of": F.col(f"`{id_col}`").cast("long"), "__text": F.xxhash64(body)})
-    same = F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
-    met = keyed.join(chosen, same, "left_semi")
-    turn = F.row_number().over(W.partitionBy("__of", "__text").orderBy("__text"))
-    return met.withColumn("__turn", turn).where("__turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = firsts.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    chosen = settle(chosen.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "chosen")
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    is_chosen = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash").eqNullSafe(F.col("__hash")))
+    kept = rows.join(chosen, is_chosen, "left_semi").where("n = 1")
+    concerned = rows.join(kept, ["doc_id", "text_hash"], "left_anti").select(F.xxhash64("doc_id", "text_hash").alias("key"))
+    filled = docs.sparkSession.sparkContext.broadcast(members.filter_of(concerned))
+
+    body = F.xxhash64(F.col(f"`{text_col}`").cast("binary"))
+    keyed = docs.withColumns({"__of": F.col(f"`{id_col}`").cast("long"), "__text": body})
+    keyed = keyed.withColumn("__may", members.may_be_in(F.xxhash64("__of", "__text"), filled))
+    same = F.col("__of").eqNullSafe(F.col("__id")) & F.col("__text").eqNullSafe(F.col("__hash"))
+    met = keyed.where("__may").join(chosen, same, "left_semi").dropDuplicates(["__of", "__text"])
+    left = met.unionByName(keyed.where(~F.col("__may")))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
