@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gableframe.llm import members
 from gableframe.llm.text import SPACES, bodies, id_and_text, mix, powers
 from gableframe.scratch import settle
 
@@ -239,9 +240,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
+    """Adds __from and __to, null for rows without spans.
+
+    A filter of bounded size tells which rows may have spans; only these are joined, all others
+    pass by, so that texts without repeats are never shuffled.
+    """
     own = spans.select(F.col("doc_id").alias("__id"), F.col("from").alias("__from"), F.col("to").alias("__to"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    return docs.join(own, key == F.col("__id"), "left").drop("__id")
+    filled = docs.sparkSession.sparkContext.broadcast(members.filter_of(spans.select("doc_id")))
+    marked = docs.withColumn("__may", members.may_be_in(key, filled))
+    none = F.lit(None).cast("array<int>")
+    others = marked.where(~F.col("__may")).withColumns({"__from": none, "__to": none}).drop("__may")
+    return marked.where("__may").drop("__may").join(own, key == F.col("__id"), "left").drop("__id").unionByName(others)
 
 
 def _kept(body: bytes, opens: list[int], closes: list[int]) -> list[list[bytes]]:
