@@ -227,9 +227,7 @@ register(
 
 # --- tokens ------------------------------------------------------------------------
 
-# As many synonyms and place names as users have: a few words, then house numbers with a letter by rule.
 SYNONYMS = {"RD": "ROAD", "ST": "STREET", "AVE.": "AVENUE", "GDNS": "GARDENS", "APT": "APARTMENT", "STUDIO": "STUDIO FLAT"}
-SYNONYMS |= {f"{i}A": f"{i} A" for i in range(1, 640)}
 
 
 def address_lines(spark, sf_dir):
