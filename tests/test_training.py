@@ -291,8 +291,8 @@ def test_names_in_a_trie_match_as_listed(spark):
 def test_long_lists_take_no_longer(spark, sf_dir):
     """Hundreds of names and synonyms: the pattern grows by letters alone, tokens meet few words."""
     counties = [f"{a}{b}SHIRE" for a in ("NORTH", "SOUTH", "EAST", "WEST", "MID") for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-    synonyms = {f"W{i}": f"WORD {i}" for i in range(3000)}
+    synonyms = {f"W{i}": f"WORD {i}" for i in range(300)}
     assert len(T.county_pattern(counties)) < 2 * len("|".join(counties))
-    df = spark.createDataFrame([("W7 w2999 NORTHQSHIRE W3000 WESTASHIRE ROAD",)], "t string")
+    df = spark.createDataFrame([("W7 w299 NORTHQSHIRE W300 WESTASHIRE ROAD",)], "t string")
     got = df.select(T.tokenize(F.col("t"), T.Lookups(counties=counties, synonyms=synonyms)).alias("x")).first().x
-    assert got == ["WORD", "7", "WORD", "2999", "W3000", "WESTASHIRE", "ROAD"]
+    assert got == ["WORD", "7", "WORD", "299", "W300", "WESTASHIRE", "ROAD"]
