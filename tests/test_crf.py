@@ -177,3 +177,32 @@ def test_odd_rows(spark):
     assert got[3].sequence_probability == 0.0 and 0 < got[5].sequence_probability <= 1
     empty = crf.fit_field(df.where("id > 1"), labels=RENDER_LABELS)
     assert not empty.weights.any() and crf.tag_with_field(given, "given", empty).count() == 5
+
+
+def test_solvers_run_within_their_share_of_the_driver(spark, labelled, monkeypatch):
+    """With room for one solver each pass serves one, and the search finds the same."""
+    few = labelled.limit(60).cache()
+    candidates, options = crf.draw_penalties(2, 1), {"folds": 2, "seed": 1, "labels": RENDER_LABELS, "steps": 3}
+    together = crf.tune_field(few, "id", candidates, **options).collect()
+    served, added = [], crf._added
+    monkeypatch.setattr(crf, "_added", lambda b, y, models, *a: served.append(len(models)) or added(b, y, models, *a))
+    monkeypatch.setattr(crf, "SOLVED_AT_ONCE", 1)
+    assert crf.tune_field(few, "id", candidates, **options).collect() == together
+    assert set(served) == {1}
+
+
+def test_rows_are_dealt_to_all_cores(spark, sf_dir):
+    from workload.training import labelled as rendered
+
+    rows = rendered(spark, sf_dir)
+    dealt = crf._rows(rows, "labelled", F.lit(0))
+    files = dealt.select(F.input_file_name().alias("f")).distinct().count()
+    assert files >= min(spark.sparkContext.defaultParallelism, dealt.count()) and dealt.count() == rows.count()
+
+
+def test_texts_of_customers_are_not_tested_per_order(spark, sf_dir):
+    from workload.addresses import cohort
+
+    tree = cohort(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in tree.splitlines() if "Filter" in line and "o_custkey" in line]
+    assert filters and not any("Cottage" in line for line in filters)
