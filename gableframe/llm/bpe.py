@@ -1,6 +1,7 @@
 """Encoding and decoding with a byte-pair vocabulary; long unsplit text goes by tree concatenation."""
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -156,7 +157,12 @@ class Codec:
 
 @lru_cache(2)
 def codec(path: str) -> Codec:
-    """One per worker process, so that what it remembers serves all of its tasks."""
+    """One per worker process, so that what it remembers serves all of its tasks.
+
+    A task has one core: threads of the tokenizer's own, as many as the machine has cores, would each hold memory
+    beside what Spark reckons with, and take time from other tasks.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Codec(path)
 
 

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -54,3 +58,20 @@ def test_rows(documents, edges, nothing, codecs):
         want = sorted(repr((r.doc_id, *whole(codecs[0], r.text or ""))) for r in rows)
         assert sorted(repr((r.doc_id, r.ids, r.decoded)) for r in bpe.encoded(docs, PATH).collect()) == want
     assert bpe.encoded(nothing, PATH).count() == 0
+
+
+THREADS = """
+import os, sys
+from gableframe.llm import bpe
+own = bpe.codec(sys.argv[1])
+before = len(os.listdir("/proc/self/task"))
+own.encode_all([b" ".join(b"w%dx%d" % (i, j) for i in range(500)) for j in range(20)])
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+
+
+def test_a_worker_starts_no_threads_of_its_own():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("TOKENIZERS_", "RAYON_"))} | {"PYTHONPATH": root}
+    done = subprocess.run([sys.executable, "-c", THREADS, PATH], env=env, capture_output=True, text=True, timeout=120, check=True)
+    assert done.stdout.split() == ["0"]
