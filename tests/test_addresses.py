@@ -145,3 +145,53 @@ def test_postcode_tokens(spark):
     )
     got = [r.y for r in df.select(H.postcode_tokens(F.col("p"), F.col("o"), F.col("i")).alias("y")).collect()]
     assert got == [["GL1", "1AA"], ["GL1", "1AA"], ["GL11AA"], []]
+
+
+ODD = ["", " ", "12", "12 13", "12 A 13", "A 12", "Flat 3/2, THE  mill-house 12a", "x  y z", "ß st. ǅ rd", "st", " ST RD 7", "a\n12\nb",
+       "ΐ 12٣ _ / é'e", "no.12 ave", "AVE", "St. St. 5 st5 5st", "12\t13 - 14", "St\x85Rd", None]
+
+
+def test_normalised_text_is_what_single_steps_give(spark):
+    def collapse(c):
+        return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+    def bare(c):
+        return collapse(F.regexp_replace(c, r"(?U)[^\w\s/]", " "))
+
+    def plain(c):
+        return F.filter(F.split(F.coalesce(collapse(F.upper(bare(c))), F.lit("")), r"\s+"), lambda w: w != "")
+
+    def text(ws):
+        return F.nullif(F.array_join(ws, " "), F.lit(""))
+
+    c, full = F.col("c"), A.literal_map(A.STREET_WORDS)
+    rows = spark.createDataFrame([(t,) for t in ODD], "c string").select(
+        A.normal(c).alias("a1"), bare(collapse(F.upper(c))).alias("a2"),
+        A.norm_street(c).alias("b1"), text(F.transform(plain(c), lambda w: F.coalesce(F.try_element_at(full, w), w))).alias("b2"),
+        A.building_name(c, F.lit("5 b")).alias("c1"),
+        text(F.filter(plain(F.concat_ws(" ", F.nullif(c, F.lit("")), F.lit("5 b"))), lambda w: ~w.rlike(r"^\d+$"))).alias("c2"),
+        A.without_numbers(A.normal(c)).alias("d1"), text(F.filter(plain(c), lambda w: ~w.rlike(r"^\d+$"))).alias("d2"),
+    ).collect()
+    for r in rows:
+        assert (r.a1, r.b1, r.c1, r.d1) == (r.a2, r.b2, r.c2, r.d2)
+
+
+def test_prepared_certificates_normalise_each_line_once(spark):
+    lines = spark.createDataFrame([(t, "Flat 2, 7 High St", None) for t in ODD], "ADDRESS1 string, ADDRESS2 string, ADDRESS3 string")
+    done = K.prep_certificate_addresses(lines)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)[^\w/]+") == 3 and "(?U)" not in plan.replace(r"(?U)[^\w/]+", "")
+    for r in done.collect():
+        assert r.building_name == " ".join(w for w in r.full_norm.split(" ") if not (w.isascii() and w.isdigit()))
+        assert r.Street_norm.split(" ")[-1] == "STREET" or r.ADDRESS1 is not None
+
+
+def test_links_carry_wanted_columns_and_make_keys_once(spark):
+    sales, certs = sides(spark)
+    wanted = ["Transaction ID", "epc_lmk_key", "days_diff"]
+    for how in ("inner", "left", "full"):
+        some, every = K.link(sales, certs, how=how, columns=wanted), K.link(sales, certs, how=how)
+        assert some.columns == wanted
+        assert sorted(map(str, some.collect())) == sorted(map(str, every.select(*[f"`{c}`" for c in wanted]).collect()))
+        plan = some._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" not in plan and "regexp_replace" not in plan

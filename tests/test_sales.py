@@ -280,3 +280,24 @@ def test_hedonic_by_steps_equals_direct_and_repeats(spark):
     assert all(sorted(hedonic(df.repartition(n), terms=terms).collect()) == direct for n in (1, 3, 8))
     none = spark.createDataFrame([], df.schema)
     assert hedonic(none, terms=terms).collect() == []
+
+
+def test_certificate_dates_are_what_formatters_read(spark):
+    texts = ["2024-02-29", "2023-02-29", "2024-2-9", "2024-13-01", "0000-01-01", "2024-01-01 5:7", "2024-01-01 24:00", "2024-01-01 23:60",
+             "2024-01-01 23:59:59", "2024-01-01 23:59:60", "2024-01-01 1:2:3", "2024-01-01\n", "2024-01-01 ", " 2024-01-01", "2024-01-01T10:00",
+             "01/02/2024", "31/02/2024", "n/a", "", "12024-01-01", "2024-00-10", "2024-01-01 10", "2024-01-01 10:30:59.5", "2024-1-1 007:5", None]
+    shapes = {"yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d H:m": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$",
+              "yyyy-M-d H:m:s": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$"}
+
+    def read(c, *formats):
+        return F.coalesce(*[F.when(c.rlike(shapes[f]), F.try_to_timestamp(c, F.lit(f))) for f in formats]).cast("date")
+
+    c, head = F.col("c"), F.split_part(F.col("c"), F.lit(" "), F.lit(1))
+    got = spark.createDataFrame([(t,) for t in texts], "c string").select(
+        "c", V.certificate_date(F.lit(None), c).alias("a"), read(c, "yyyy-M-d", "yyyy-M-d H:m", "yyyy-M-d H:m:s").alias("b"),
+        V.sale_date(c).alias("d"), read(head, "yyyy-M-d", "d/M/yyyy").alias("e"),
+    )
+    for r in got.collect():
+        assert (r.a, r.d) == (r.b, r.e), r
+    alone = got.select(V.certificate_date(c, c))._jdf.queryExecution().optimizedPlan().toString()
+    assert "gettimestamp" not in alone
