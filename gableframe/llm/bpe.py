@@ -4,7 +4,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +50,18 @@ class Codec:
         self.added = re.compile("(" + "|".join(re.escape(t["content"]) for t in spec["added_tokens"]) + ")")
         self.suffix = model["end_of_word_suffix"] or ""
         self.leaf = leaf
-        merges = [tuple(m) for m in model["merges"]]
-        # The same merges for text that goes on, where no symbol is the last of its word.
-        self.inner = models.BPE(vocab=model["vocab"], merges=merges)
-        self.ending = self.whole.model
+        self.path, self.ending = path, self.whole.model
         self.recent: dict[bytes, tuple[bytes, bytes]] = {}
         self.older: dict[bytes, tuple[bytes, bytes]] = {}
         self.marks, self.marked = bytearray(MARKS), 0
 
+    @cached_property
+    def inner(self) -> models.BPE:
+        """The same merges for text that goes on, where no symbol is the last of its word; only long stretches need them."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        return models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]])
+
     def merge(self, symbols: str, ends: bool) -> list[int]:
         return [t.id for t in (self.ending if ends else self.inner).tokenize(symbols)]
 

@@ -75,3 +75,12 @@ def test_a_worker_starts_no_threads_of_its_own():
     env = {k: v for k, v in os.environ.items() if not k.startswith(("TOKENIZERS_", "RAYON_"))} | {"PYTHONPATH": root}
     done = subprocess.run([sys.executable, "-c", THREADS, PATH], env=env, capture_output=True, text=True, timeout=120, check=True)
     assert done.stdout.split() == ["0"]
+
+
+def test_the_merges_within_long_stretches_are_read_when_one_comes():
+    own = bpe.Codec(PATH)
+    own.encode(b"a few short words")
+    assert "inner" not in vars(own)
+    body = "ab" * bpe.LEAF
+    ids = own.encode(body.encode())[0].tolist()
+    assert "inner" in vars(own) and ids == own.whole.encode(body, add_special_tokens=False).ids
