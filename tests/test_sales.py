@@ -297,7 +297,7 @@ def test_certificate_dates_are_what_formatters_read(spark):
         "c", V.certificate_date(F.lit(None), c).alias("a"), read(c, "yyyy-M-d", "yyyy-M-d H:m", "yyyy-M-d H:m:s").alias("b"),
         V.sale_date(c).alias("d"), read(head, "yyyy-M-d", "d/M/yyyy").alias("e"),
     )
-    for r in got.collect():
+    for r in got.select(*[F.col(n).cast("string") for n in "cabde"]).collect():  # Python has no year 0
         assert (r.a, r.d) == (r.b, r.e), r
     alone = got.select(V.certificate_date(c, c))._jdf.queryExecution().optimizedPlan().toString()
     assert "gettimestamp" not in alone
