@@ -145,3 +145,12 @@ def test_lines_of_token_counts(spark, rule):
         counts, crossing = plain_sections(text, codec, rule)
         assert [got[i][k][0] for k in sorted(got[i])] == pytest.approx(counts), text
         assert [got[i][k][1] for k in sorted(got[i])] == crossing, text
+
+
+def test_shards_are_averaged_in_blocks_of_features(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 3, sorted(rng.choice(16, 4, replace=False).tolist()), rng.random(4).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "key long, label int, at array<int>, x array<double>")
+    whole = linear.fit(df, 3, 16, linear.Pace(rounds=2))
+    monkeypatch.setattr(linear, "BLOCK", 5)
+    assert np.abs(whole).max() > 0 and np.array_equal(whole, linear.fit(df, 3, 16, linear.Pace(rounds=2)))
