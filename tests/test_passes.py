@@ -76,7 +76,7 @@ MOMENTS = {
 def test_moments_take_few_tests(spark):
     df = spark.createDataFrame([(t,) for t in MOMENTS], "t string").select("t", to_moment(F.col("t")).cast("string").alias("m"))
     assert {r.t: r.m for r in df.collect()} == MOMENTS
-    # Seven tests made code that the virtual machine no longer compiles.
+    # Seven tests made long code wherever a date is used.
     assert str(to_moment(F.col("t"))).lower().count("rlike(") == 3
 
 
