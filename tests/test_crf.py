@@ -198,3 +198,60 @@ def test_rows_are_dealt_to_all_cores(spark, sf_dir):
     dealt = crf._rows(rows, "labelled", F.lit(0))
     files = dealt.select(F.input_file_name().alias("f")).distinct().count()
     assert files >= min(spark.sparkContext.defaultParallelism, dealt.count()) and dealt.count() == rows.count()
+
+
+def test_all_attributes_are_kept(spark):
+    """More attributes than any bound of earlier versions held: each has its weight and its row of the gradient."""
+    rows = 200_500
+    df = spark.range(rows).select(
+        F.array(F.struct(F.format_string("W%06dX", "id").alias("token"), F.lit("StreetName").alias("label"))).alias("labelled")
+    )
+    own = crf.first_gradient(df, labels=RENDER_LABELS).where("slot = 'own' and attribute like 'word=%' and label = 'StreetName'")
+    found = own.agg(F.count(F.lit(1)).alias("n"), F.min("gradient").alias("lo"), F.max("gradient").alias("hi")).first()
+    assert found.n == rows and found.lo == pytest.approx(1 / 7 - 1) == found.hi
+    model = crf.fit_field(df, labels=RENDER_LABELS, penalty=crf.Penalty(0.0, 0.1), steps=1)
+    words = [i for i, a in enumerate(model.attributes) if a.startswith("word=")]
+    assert len(words) == rows and model.weights.reshape(-1, 7)[words, RENDER_LABELS.index("StreetName")].all()
+
+
+def test_attributes_are_found_among_equal_hashes(monkeypatch):
+    monkeypatch.setattr(crf.Known, "_hashes", staticmethod(lambda texts: np.array([len(t) % 2 for t in texts], np.uint64)))
+    known = crf.Known(["a", "bb", "c", "dd", "e"])
+    assert known.numbers_of(["e", "dd", "x", "a", "yy", "bb", "a", "c"]).tolist() == [4, 3, -1, 0, -1, 1, 0, 2]
+
+
+def test_search_trains_to_the_end(spark, labelled, monkeypatch):
+    """Without a number of steps the solver gains no more, and neither way of training leaves a weight out."""
+    few = labelled.limit(80).cache()
+    candidates, options = crf.draw_penalties(2, 1), {"folds": 2, "seed": 1, "labels": RENDER_LABELS}
+    sent = {r.candidate: r for r in crf.tune_field(few, "id", candidates, **options).collect()}
+    monkeypatch.setattr(crf, "SENT_BYTES", 0)
+    passes = {r.candidate: r for r in crf.tune_field(few, "id", candidates, **options).collect()}
+    for i, row in sent.items():
+        assert row.sequence_accuracy == pytest.approx(passes[i].sequence_accuracy, abs=0.03)
+
+
+@pytest.mark.parametrize("first", [1, 5])
+def test_optimum_of_some_attributes_at_a_time(monkeypatch, first):
+    """Repeated rows count as often as they come, and attributes left out at first come in: the loss is that of all weights at once."""
+    monkeypatch.setattr(crf, "FIRST_ATTRIBUTES", first)
+    rng = np.random.default_rng(3)
+    blocks = [chains(rng, 60)[0] for _ in range(2)] * 2
+    layout, penalty = crf.Layout(5, 3), crf.Penalty(0.8, 0.05)
+    free = np.arange(layout.size)
+
+    def loss(x):
+        sums = [crf.loss_and_gradient(b, layout, x, b.folds != 1) for b in blocks]
+        return sum(a for a, _ in sums), sum(g for _, g in sums)
+
+    solver = crf.minimise(np.ones(layout.size, bool), penalty, None, delta=1e-9)
+    point = next(solver)
+    while True:
+        try:
+            point = solver.send(loss(point))
+        except StopIteration as end:
+            best = end.value
+            break
+    found = crf._optimum(blocks, layout, 1, free, penalty, delta=1e-9)
+    whole = [loss(x)[0] + penalty.c2 * x @ x + penalty.c1 * np.abs(x).sum() for x in (best, found)]
+    assert whole[1] == pytest.approx(whole[0], rel=1e-6)
