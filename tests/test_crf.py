@@ -255,3 +255,14 @@ def test_optimum_of_some_attributes_at_a_time(monkeypatch, first):
     found = crf._optimum(blocks, layout, 1, free, penalty, delta=1e-9)
     whole = [loss(x)[0] + penalty.c2 * x @ x + penalty.c1 * np.abs(x).sum() for x in (best, found)]
     assert whole[1] == pytest.approx(whole[0], rel=1e-6)
+
+
+def test_query_searches_without_a_number_of_steps(spark, monkeypatch):
+    from workload import training
+    from workload.registry import QUERIES
+
+    given = []
+    monkeypatch.setattr(training, "labelled", lambda s, d: None)
+    monkeypatch.setattr(crf, "tune_field", lambda *a, **options: given.append(options) or spark.range(0))
+    QUERIES["tune_crf"](spark, "")
+    assert given[0].get("steps") is None
