@@ -296,3 +296,17 @@ def test_long_lists_take_no_longer(spark, sf_dir):
     df = spark.createDataFrame([("W7 w299 NORTHQSHIRE W300 WESTASHIRE ROAD",)], "t string")
     got = df.select(T.tokenize(F.col("t"), T.Lookups(counties=counties, synonyms=synonyms)).alias("x")).first().x
     assert got == ["WORD", "7", "WORD", "299", "W300", "WESTASHIRE", "ROAD"]
+
+
+def test_each_distinct_text_is_tagged_once(spark, monkeypatch):
+    """Repeated and missing texts come back as often as they came, tagged as single ones are."""
+    labelled = spark.createDataFrame([([("12", "BuildingNumber"), ("HIGH", "StreetName")],)], "labelled array<struct<token:string,label:string>>")
+    counts = L.fit_labels(labelled, labels=RENDER_LABELS)
+    rows = [(i, ("12 HIGH", "7 MILL", None, "")[i % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    plain = L.tag_tokens(df.withColumn("g", T.tokenize(F.col("t"), T.Lookups())), "g", counts).drop("g")
+    tagged, tag = [], L.tag_tokens
+    monkeypatch.setattr(L, "tag_tokens", lambda d, *a, **o: tagged.append(d.count()) or tag(d, *a, **o))
+    found = L.tag_text(df, "t", counts)
+    assert found.columns == ["id", "t", "tagged"] and tagged == [4]
+    assert sorted(found.collect()) == sorted(plain.select("id", "t", "tagged").collect())
